@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
-from driftgrid.llm import quality, sharding, urls
+from driftgrid.llm import packing, pieces, quality, sharding, tokens, urls
 
 QUERIES = {
+    "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_shard": sharding.op2_shard,
+    "op6_pack": packing.op6_pack,
     "op8_url_filter": urls.op8_url_filter,
+    "op9_token_counts": tokens.op9_token_counts,
     "op10_quality_rules": quality.op10_quality_rules,
 }
 
