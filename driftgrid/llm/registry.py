@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from driftgrid.llm import packing, pieces, pii, quality, sharding, simhash, tokens, topk, urls
+import corpus_pipeline
+from driftgrid.llm import packing, pieces, pii, quality, sharding, simhash, substrings, tokens, topk, urls
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
     "op2_shard": sharding.op2_shard,
+    "op3_substring_dedup": substrings.op3_substring_dedup,
     "op4_simhash": simhash.op4_simhash,
     "op5_pii": pii.op5_pii,
     "op6_pack": packing.op6_pack,
@@ -14,6 +16,7 @@ QUERIES = {
     "op8_url_filter": urls.op8_url_filter,
     "op9_token_counts": tokens.op9_token_counts,
     "op10_quality_rules": quality.op10_quality_rules,
+    "pipeline": corpus_pipeline.run,
 }
 
 ORACLES = {

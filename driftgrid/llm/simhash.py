@@ -29,7 +29,8 @@ from driftgrid.scratch import materialize
 
 SEED = 42
 FRONTIER = 1 << 20
-BATCH_ROWS = 1 << 19
+BATCH_ROWS = 1 << 18
+KEEP_COUNTS = 1 << 26
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -73,34 +74,51 @@ def fingerprints(docs: DataFrame, width: int = 3, text: str = "text") -> DataFra
 def trie_pairs(group: np.ndarray, bits: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Places (i, j), i < j, of equal group whose bits differ in 1 to ``budget`` places.
 
-    ``group`` and ``bits`` (unsigned) are sorted together and distinct. Node pairs of one
-    depth are handled as arrays; a frontier that grows past ``FRONTIER`` is cut in
-    two, one half waiting, so memory stays bounded.
+    ``group`` and ``bits`` (rows of unsigned 64-bit words) are sorted together and distinct.
+    Node pairs of one depth are handled as arrays; two leaves are compared at once. A
+    frontier that grows past ``FRONTIER`` is cut in two, one half waiting, so memory
+    stays bounded.
     """
+    bits = bits.reshape(len(group), -1)
     starts = np.flatnonzero(np.append(True, group[1:] != group[:-1]))
     ends = np.append(starts[1:], len(group))
     some = ends - starts > 1
     starts, ends = starts[some], ends[some]
-    ones = [np.append(0, np.cumsum((bits >> np.uint64(63 - d)) & np.uint64(1)).astype(np.int32)) for d in range(64)]
-    waiting = [(0, starts, ends, starts, ends, np.zeros(len(starts), np.int8))]
+    held: dict[int, np.ndarray] = {}
+
+    def ones_before(depth: int) -> np.ndarray:
+        if depth not in held:
+            if len(held) * len(group) > KEEP_COUNTS:
+                held.clear()
+            column = bits[:, depth // 64] >> np.uint64(63 - depth % 64)
+            held[depth] = np.append(0, np.cumsum(column & np.uint64(1)).astype(np.int32))
+        return held[depth]
+
+    waiting = [(0, starts, ends, starts, ends, np.zeros(len(starts), np.int16))]
     while waiting:
         depth, al, ah, bl, bh, errors = waiting.pop()
-        while depth < 64 and len(al):
+        while len(al):
             if len(al) > FRONTIER:
                 half = len(al) // 2
                 waiting.append((depth, al[half:], ah[half:], bl[half:], bh[half:], errors[half:]))
                 al, ah, bl, bh, errors = al[:half], ah[:half], bl[:half], bh[:half], errors[:half]
-            p = ones[depth]
+            leaves = (ah - al == 1) & (bh - bl == 1)
+            if leaves.any():
+                i, j = al[leaves], bl[leaves]
+                near = np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1) <= budget
+                yield i[near], j[near]
+                al, ah, bl, bh, errors = al[~leaves], ah[~leaves], bl[~leaves], bh[~leaves], errors[~leaves]
+            if not len(al):
+                break
+            p = ones_before(depth)
             am, bm = ah - (p[ah] - p[al]), bh - (p[bh] - p[bl])
             cross, other = errors < budget, (errors < budget) & (al != bl)
             nal, nah = np.concatenate([al, am, al[cross], am[other]]), np.concatenate([am, ah, am[cross], ah[other]])
             nbl, nbh = np.concatenate([bl, bm, bm[cross], bl[other]]), np.concatenate([bm, bh, bh[cross], bm[other]])
-            errors = np.concatenate([errors, errors, errors[cross] + np.int8(1), errors[other] + np.int8(1)])
+            errors = np.concatenate([errors, errors, errors[cross] + np.int16(1), errors[other] + np.int16(1)])
             keep = (nah > nal) & (nbh > nbl) & ((nal != nbl) | (nah - nal > 1))
             al, ah, bl, bh, errors = nal[keep], nah[keep], nbl[keep], nbh[keep], errors[keep]
             depth += 1
-        if len(al):
-            yield al, bl
 
 
 def forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray:
@@ -134,32 +152,46 @@ def block_keys(budget: int):
     return F.array(*keys)
 
 
-def linked(fps: DataFrame, budget: int) -> DataFrame:
-    """(u, v): edges that join all distinct ``fp`` within ``budget`` bits, at most one a fingerprint and key."""
-    keyed = fps.select("fp", F.explode(block_keys(budget)).alias("key"))
-    parts = max(1, int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sent = keyed.repartition(parts, "key").sortWithinPartitions("key", "fp")
-
-    def solve(key: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-        order = np.lexsort((fp.view(np.uint64), key))
-        key, fp = key[order], fp[order]
-        root = forest(trie_pairs(key, fp.view(np.uint64), budget), len(fp))
-        hung = np.flatnonzero(root != np.arange(len(fp)))
-        return pa.RecordBatch.from_arrays([pa.array(fp[hung]), pa.array(fp[root[hung]])], names=["u", "v"])
+def meet(keyed: DataFrame, words: list[str], node: str, budget: int) -> DataFrame:
+    """(u, v): edges between ``node`` values within ``budget`` bits that share a ``key``, at most one a node and key.
+
+    ``keyed`` has key, the node and the fingerprint's words (longs); equal rows are allowed.
+    """
+    parts = max(1, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    columns = list(dict.fromkeys(["key", *words, node]))
+    sent = keyed.select(*columns).repartition(parts, "key").sortWithinPartitions("key")
+    at = [columns.index(c) for c in ("key", node, *words)]
+
+    def solve(rows: np.ndarray) -> pa.RecordBatch:
+        key, nodes, bits = rows[0], rows[1], np.ascontiguousarray(rows[2:].T).view(np.uint64)
+        order = np.lexsort([*bits.T[::-1], key])
+        key, nodes, bits = key[order], nodes[order], bits[order]
+        root = forest(trie_pairs(key, bits, budget), len(key))
+        hung = np.flatnonzero(root != np.arange(len(key)))
+        return pa.RecordBatch.from_arrays([pa.array(nodes[hung]), pa.array(nodes[root[hung]])], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        held: list[np.ndarray] = []
+        size = 0
         for batch in batches:
-            keys = np.append(keys, batch.column(0).to_numpy(zero_copy_only=False))
-            fps = np.append(fps, batch.column(1).to_numpy(zero_copy_only=False))
-            if len(keys) >= BATCH_ROWS and keys[0] != keys[-1]:  # whole groups only; the last may go on
-                cut = int(np.flatnonzero(keys != keys[-1])[-1]) + 1
-                yield solve(keys[:cut], fps[:cut])
-                keys, fps = keys[cut:], fps[cut:]
-        if len(keys):
-            yield solve(keys, fps)
+            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in at]))
+            size += batch.num_rows
+            if size * len(words) >= BATCH_ROWS:  # whole groups only; the last may go on
+                rows = np.concatenate(held, axis=1)
+                cut = np.flatnonzero(rows[0] != rows[0, -1])
+                if len(cut):
+                    yield solve(rows[:, : cut[-1] + 1])
+                    rows = rows[:, cut[-1] + 1 :]
+                held, size = [rows], rows.shape[1]
+        if held:
+            yield solve(np.concatenate(held, axis=1))
 
-    return sent.select("key", "fp").mapInArrow(run, "u long, v long")
+    return sent.mapInArrow(run, "u long, v long")
+
+
+def linked(fps: DataFrame, budget: int) -> DataFrame:
+    """(u, v): edges that join all distinct ``fp`` within ``budget`` bits."""
+    return meet(fps.select("fp", F.explode(block_keys(budget)).alias("key")), ["fp"], "fp", budget)
 
 
 def classes(printed: DataFrame, budget: int = 2) -> DataFrame:
@@ -181,3 +213,60 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     found = near_duplicates(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+# A wider fingerprint for similarities of which 64 bits tell too little.
+
+WORDS = 4
+BANDS, BAND_ROWS = 16, 4
+_SEEDS = np.random.default_rng(7).integers(1, 1 << 63, WORDS + 2 * BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    return x ^ (x >> np.uint64(33))
+
+
+def sketch(hashes: np.ndarray) -> tuple[list[int], list[int]]:
+    """(256-bit fingerprint as four longs, band keys): the keys, of least hashes, only say which fingerprints meet."""
+    prints = [fingerprint(_mixed(hashes * s)) for s in _SEEDS[:WORDS]]
+    least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
+    a = _SEEDS[WORDS : WORDS + len(least)]
+    for at in range(0, len(hashes), 1 << 12):
+        part = _mixed(hashes[at : at + (1 << 12)])
+        np.minimum(least, (part[:, None] * a).min(axis=0), out=least)
+    folded = (_mixed(least) * _SEEDS[WORDS + len(least) :]).reshape(BANDS, BAND_ROWS).sum(axis=1, dtype=np.uint64)
+    return prints, _mixed(folded + np.arange(BANDS, dtype=np.uint64)).view(np.int64).tolist()
+
+
+def bits_for(similarity: float, bits: int = 64 * WORDS) -> int:
+    """Differing bits that about 99 in 100 pairs of this Jaccard similarity stay within."""
+    share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    return int(np.ceil(bits * share + 2.33 * np.sqrt(bits * share * (1 - share))))
+
+
+def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text", id: str = "doc_id") -> DataFrame:
+    """The rows of ``docs`` of which no near-duplicate with a lesser id is left: one of each class, columns unchanged.
+
+    Shingles of ``width`` words, Jaccard similarity from ``similarity`` on. Fingerprints
+    meet where one of ``BANDS`` keys agrees, which a pair of that similarity misses
+    in two of ten thousand cases. Rows alike in every column count as one.
+    """
+    prints = [f"f{i}" for i in range(WORDS)]
+    schema = ", ".join(["id long", "h long", *(f"{f} long" for f in prints), "bands array<bigint>"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [sketch(shingle_hashes(t or "", width)) for t in batch.column(2).to_pylist()]
+            columns = [pa.array([m[0][i] for m in made], pa.int64()) for i in range(WORDS)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["id", "h", *prints, "bands"])
+
+    marked = docs.withColumn("__h", F.xxhash64(*docs.columns)).withColumn("__id", F.coalesce(F.col(id).cast("long"), F.lit(2**63 - 1)))
+    printed = materialize(marked.select(F.col("__id").alias("id"), F.col("__h").alias("h"), text).mapInArrow(run, schema), "sketches")
+    nodes = printed.groupBy(*prints).agg(F.min(F.struct("id", "h")).alias("least"), F.first("bands").alias("bands"))
+    nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    edges = meet(nodes.select("node", *prints, F.explode("bands").alias("key")), prints, "node", bits_for(similarity))
+    roots = components(edges)
+    held = nodes.select("node", "least").join(roots, F.col("node") == F.col("v"), "left").select("least", F.coalesce("root", "node").alias("root"))
+    stay = held.groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.id").alias("__id"), F.col("k.h").alias("__h"))
+    return marked.join(stay, ["__id", "__h"], "left_semi").dropDuplicates(["__id", "__h"]).select(*docs.columns)
