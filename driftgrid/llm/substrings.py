@@ -38,7 +38,7 @@ from driftgrid.scratch import materialize
 
 PREFIX = 8
 GROUP = 1000
-BATCH_STARTS = 200_000
+BATCH_STARTS = 100_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -139,9 +139,9 @@ def _solve(batch: dict[str, list], window: int) -> pa.RecordBatch:
     body, place = deep_suffixes(batch["body"], np.array(batch["twice"], dtype=bool), window)
     new = np.append(True, (np.diff(body) != 0) | (np.diff(place) != 1))[: len(body)]
     first = np.flatnonzero(new)
-    last = np.append(first[1:], len(body)) - 1
+    last = np.append(first[1:], len(body))[: len(first)] - 1
     d1, d2, at = (np.array(batch[c], np.int64) for c in ("d1", "d2", "at"))
-    who = body[first] if len(body) else np.zeros(0, np.int64)
+    who = body[first]
     start, stop = at[who] + place[first], at[who] + place[last] + window
     return pa.RecordBatch.from_arrays([pa.array(d1[who]), pa.array(d2[who].astype(np.int32)), pa.array(start), pa.array(stop)], names=["d1", "d2", "start", "stop"])
 
@@ -155,6 +155,13 @@ def mask(n: int, intervals: list) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in small pieces, so that few texts at a time become Python objects."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 Finish = Callable[[bytes, np.ndarray, np.ndarray, np.ndarray], tuple]
 
 
@@ -171,7 +178,7 @@ def dedup(docs: DataFrame, finish: Finish, outputs: str, window: int = 35, text:
     src = docs.select(*[F.col(c).alias(f"own_{i}") for i, c in enumerate(own)], body.alias("text"), F.xxhash64(body).alias("d1"), F.hash(body).alias("d2"))
 
     def cut_heads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             out: list[list] = [[], [], [], []]
             for d1, d2, t in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
                 data = t.encode()
@@ -202,7 +209,7 @@ def dedup(docs: DataFrame, finish: Finish, outputs: str, window: int = 35, text:
     arrow_made = _arrow(made)
 
     def cut_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             left, bodies, done, results = [], [], [], []
             for t, marks, copies, speaks in zip(*(batch.column(len(keep) + 2 + i).to_pylist() for i in range(4)), strict=True):
                 data = t.encode()
@@ -234,7 +241,7 @@ def dedup(docs: DataFrame, finish: Finish, outputs: str, window: int = 35, text:
         names = ("key", "d1", "d2", "at", "twice", "body")
         held: dict[str, list] = {c: [] for c in names}
         size = 0
-        for batch in batches:
+        for batch in slices(batches, 2048):
             new = dict(zip(names, (batch.column(i).to_pylist() for i in range(len(names))), strict=True))
             for c in names:
                 held[c] += new[c]
@@ -251,16 +258,23 @@ def dedup(docs: DataFrame, finish: Finish, outputs: str, window: int = 35, text:
             yield _solve({c: held[c][a:b] for c in names}, window)
 
     found = single.select("key", "d1", "d2", "at", "twice", "body").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(solve, "d1 long, d2 int, start long, stop long")
-    windows = F.expr(f"transform(sequence(0, size(w) - {window}), i -> named_struct('node', unhex(md5(array_join(slice(w, i + 1, {window}), ' '))), 'start', CAST(at + i AS BIGINT)))")
-    many = spread.where("long").select("d1", "d2", "at", "twice", F.split("body", " ").alias("w")).select("d1", "d2", "twice", F.explode(windows).alias("x")).select("d1", "d2", "twice", "x.*")
-    nodes = many.groupBy("node").agg(F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n")).where("n > 1").select("node")
-    hot = many.join(nodes, "node").select("d1", "d2", "start", (F.col("start") + window).alias("stop"))
+    # Long prefixes: alike bodies are one row with a count; each node is the whole window, and members learn their body's runs.
+    windows = F.expr(f"transform(sequence(0, size(w) - {window}), i -> named_struct('node', unhex(md5(array_join(slice(w, i + 1, {window}), ' '))), 'i', i))")
+    many = spread.where("long").withColumn("alike", F.unhex(F.md5("body")))
+    alike = many.groupBy("alike").agg(F.min("body").alias("body"), F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n"))
+    below = materialize(alike.select("alike", "n", F.split("body", " ").alias("w")).select("alike", "n", F.explode(windows).alias("x")).select("alike", "n", "x.*"), "nodes")
+    nodes = below.groupBy("node").agg(F.sum("n").alias("n")).where("n > 1").select("node")
+    places = below.join(nodes, "node").groupBy("alike").agg(F.sort_array(F.collect_set("i")).alias("p"))
+    begins, ends = F.expr(f"filter(p, (x, j) -> j = 0 OR x - p[j - 1] > {window}) AS a"), F.expr(f"filter(p, (x, j) -> j = size(p) - 1 OR p[j + 1] - x > {window}) AS b")
+    runs = places.select("alike", begins, ends).select("alike", F.arrays_zip("a", "b").alias("runs"))
+    held = many.select("d1", "d2", "at", "alike").join(runs, "alike").select("d1", "d2", "at", F.explode("runs").alias("r"))
+    hot = held.select("d1", "d2", (F.col("at") + F.col("r.a")).cast("long").alias("start"), (F.col("at") + F.col("r.b") + window).cast("long").alias("stop"))
     spans = found.unionByName(hot).groupBy("d1", "d2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     open_ = cut.where("NOT done").select(*keep, "d1", "d2", F.col("left").alias("text")).join(spans, ["d1", "d2"], "left").select(*keep, "text", "spans")
     final = schema.__class__([f for f in schema if f.name in keep or f.name in made.names])
 
     def finish_open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             results = []
             for t, spans in zip(batch.column(len(keep)).to_pylist(), batch.column(len(keep) + 1).to_pylist(), strict=True):
                 data = t.encode()
