@@ -121,6 +121,8 @@ def search_block(qids, q, ids, x, beat, k: int, turn: np.ndarray) -> list[np.nda
                 score = np.array([int(sum(int(a) * int(b) for a, b in zip(q[some[r]], x[at + c], strict=True))) for r, c in zip(rows, cols, strict=True)], dtype=np.int64)
             good = score >= beat[some[rows]]
             rows, cols, score = some[rows[good]], ids[at + cols[good]], score[good]
+            if not len(rows):
+                continue
             mine = np.unique(rows)
             rows = np.concatenate([rows, np.repeat(mine, k)])
             cols, score = np.concatenate([cols, best_i[mine].ravel()]), np.concatenate([score, best_s[mine].ravel()])
