@@ -26,7 +26,7 @@ class Params:
 
 
 #: The scale of the test tables' events.
-FIXTURE = Params(window_ms=6 * 3_600_000, ratio=10, radius=200.0, max_segment=4000.0)
+FIXTURE = Params(window_ms=6 * 3_600_000, ratio=10, radius=200.0, max_segment=4000.0, cell=2000.0)
 
 
 def read_properties(lines, base: Params = Params()) -> Params:
