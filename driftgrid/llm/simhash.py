@@ -152,23 +152,23 @@ def block_keys(budget: int):
     return F.array(*keys)
 
 
-def meet(keyed: DataFrame, words: list[str], node: str, budget: int) -> DataFrame:
-    """(u, v): edges between ``node`` values within ``budget`` bits that share a ``key``, at most one a node and key.
+def by_key(keyed: DataFrame, node: str, words: list[str], carried: list[str], solve, schema: str) -> DataFrame:
+    """What ``solve(key, bits, rest)`` makes of the rows, sorted by key and fingerprint, of some whole keys.
 
-    ``keyed`` has key, the node and the fingerprint's words (longs); equal rows are allowed.
+    ``keyed`` has key, the node, the fingerprint's words and the columns carried (all
+    longs); a key and a fingerprint together stand once. ``rest`` has the node's
+    and the carried columns' values.
     """
     parts = max(1, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    columns = list(dict.fromkeys(["key", *words, node]))
+    columns = list(dict.fromkeys(["key", node, *words, *carried]))
     sent = keyed.select(*columns).repartition(parts, "key").sortWithinPartitions("key")
-    at = [columns.index(c) for c in ("key", node, *words)]
+    at = [columns.index(c) for c in ("key", *words, node, *carried)]
+    n = len(words)
 
-    def solve(rows: np.ndarray) -> pa.RecordBatch:
-        key, nodes, bits = rows[0], rows[1], np.ascontiguousarray(rows[2:].T).view(np.uint64)
-        order = np.lexsort([*bits.T[::-1], key])
-        key, nodes, bits = key[order], nodes[order], bits[order]
-        root = forest(trie_pairs(key, bits, budget), len(key))
-        hung = np.flatnonzero(root != np.arange(len(key)))
-        return pa.RecordBatch.from_arrays([pa.array(nodes[hung]), pa.array(nodes[root[hung]])], names=["u", "v"])
+    def sorted_rows(rows: np.ndarray) -> pa.RecordBatch:
+        bits = np.ascontiguousarray(rows[1 : n + 1].T).view(np.uint64)
+        order = np.lexsort([*bits.T[::-1], rows[0]])
+        return solve(rows[0][order], bits[order], rows[n + 1 :, order])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -176,17 +176,28 @@ def meet(keyed: DataFrame, words: list[str], node: str, budget: int) -> DataFram
         for batch in batches:
             held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in at]))
             size += batch.num_rows
-            if size * len(words) >= BATCH_ROWS:  # whole groups only; the last may go on
+            if size * n >= BATCH_ROWS:  # whole groups only; the last may go on
                 rows = np.concatenate(held, axis=1)
                 cut = np.flatnonzero(rows[0] != rows[0, -1])
                 if len(cut):
-                    yield solve(rows[:, : cut[-1] + 1])
+                    yield sorted_rows(rows[:, : cut[-1] + 1])
                     rows = rows[:, cut[-1] + 1 :]
                 held, size = [rows], rows.shape[1]
         if held:
-            yield solve(np.concatenate(held, axis=1))
+            yield sorted_rows(np.concatenate(held, axis=1))
+
+    return sent.mapInArrow(run, schema)
+
+
+def meet(keyed: DataFrame, words: list[str], node: str, budget: int) -> DataFrame:
+    """(u, v): edges between ``node`` values within ``budget`` bits that share a ``key``, at most one a node and key."""
+
+    def solve(key: np.ndarray, bits: np.ndarray, rest: np.ndarray) -> pa.RecordBatch:
+        root = forest(trie_pairs(key, bits, budget), len(key))
+        hung = np.flatnonzero(root != np.arange(len(key)))
+        return pa.RecordBatch.from_arrays([pa.array(rest[0, hung]), pa.array(rest[0, root[hung]])], names=["u", "v"])
 
-    return sent.mapInArrow(run, "u long, v long")
+    return by_key(keyed, node, words, [], solve, "u long, v long")
 
 
 def linked(fps: DataFrame, budget: int) -> DataFrame:
@@ -229,6 +240,7 @@ def _mixed(x: np.ndarray) -> np.ndarray:
 
 def sketch(hashes: np.ndarray) -> tuple[list[int], list[int]]:
     """(256-bit fingerprint as four longs, band keys): the keys, of least hashes, only say which fingerprints meet."""
+    hashes = np.unique(hashes)  # a set, as in the similarity
     prints = [fingerprint(_mixed(hashes * s)) for s in _SEEDS[:WORDS]]
     least = np.full(BANDS * BAND_ROWS, np.iinfo(np.uint64).max, np.uint64)
     a = _SEEDS[WORDS : WORDS + len(least)]
@@ -245,12 +257,109 @@ def bits_for(similarity: float, bits: int = 64 * WORDS) -> int:
     return int(np.ceil(bits * share + 2.33 * np.sqrt(bits * share * (1 - share))))
 
 
+def _packed(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """(u, v, d), u < v."""
+    x, y, d = (np.concatenate([p[i] for p in pairs] or [np.zeros(0, np.int64)]).astype(np.int64) for i in range(3))
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(d)], names=["u", "v", "d"])
+
+
+def near_pairs(keyed: DataFrame, words: list[str], node: str, budget: int) -> DataFrame:
+    """(u, v, d): of each node and key the nearest partner and the one it hangs on, with their differing bits."""
+
+    def solve(key: np.ndarray, bits: np.ndarray, rest: np.ndarray) -> pa.RecordBatch:
+        none = np.iinfo(np.int64).max
+        near = np.full(len(key), none)
+        apart = lambda i, j: np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+
+        def watched() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for i, j in trie_pairs(key, bits, budget):
+                d = apart(i, j) << 32
+                np.minimum.at(near, i, d | j)
+                np.minimum.at(near, j, d | i)
+                yield i, j
+
+        root = forest(watched(), len(key))
+        hung, close = np.flatnonzero(root != np.arange(len(key))), np.flatnonzero(near != none)
+        edges = [(hung, root[hung]), (close, near[close] & 0xFFFFFFFF)]
+        return _packed([(rest[0, i], rest[0, j], apart(i, j)) for i, j in edges])
+
+    return by_key(keyed, node, words, [], solve, "u long, v long, d long").groupBy("u", "v").agg(F.min("d").alias("d"))
+
+
+def crossing_pairs(keyed: DataFrame, words: list[str], node: str, budget: int) -> DataFrame:
+    """(u, v, d): all pairs within ``budget`` bits that share a key and differ in ``root``."""
+
+    def solve(key: np.ndarray, bits: np.ndarray, rest: np.ndarray) -> pa.RecordBatch:
+        out = []
+        for i, j in trie_pairs(key, bits, budget):
+            other = rest[1, i] != rest[1, j]
+            i, j = i[other], j[other]
+            out.append((rest[0, i], rest[0, j], np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)))
+        return _packed(out)
+
+    return by_key(keyed, node, words, ["root"], solve, "u long, v long, d long").groupBy("u", "v").agg(F.min("d").alias("d"))
+
+
+def agreeing(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (u, v) of ``pairs`` whose sets (node, shingles: sorted 64-bit hashes) have at least this Jaccard similarity."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(c.as_buffer(), np.uint64) for c in (a, b))
+                short, long = min(len(x), len(y)), max(len(x), len(y))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if short >= similarity * long else 0
+                good.append(both >= similarity * (short + long - both) - 1e-9)
+            yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
+
+    ends = [sets.select(F.col("node").alias(e), F.col("shingles").alias(f"{e}_set")) for e in ("u", "v")]
+    return pairs.select("u", "v").join(ends[0], "u").join(ends[1], "v").select("u", "v", "u_set", "v_set").mapInArrow(run, "u long, v long")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs whose ends are not of one component yet."""
+    for e in ("u", "v"):
+        pairs = pairs.join(roots.select(F.col("v").alias("__v"), F.col("root").alias(f"{e}_root")), F.col(e) == F.col("__v"), "left").drop("__v")
+    return pairs.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).drop("u_root", "v_root")
+
+
+def exact_classes(keyed: DataFrame, sets_of, words: list[str], node: str, budget: int, similarity: float) -> DataFrame:
+    """(v, root): components of the pairs that meet within ``budget`` bits and truly have the similarity.
+
+    Not all pairs are looked at: first each node's nearest partner, then what it hangs on,
+    then, only in groups that these pairs leave in several components, every pair of
+    different components. ``sets_of(nodes)`` gives (node, shingles).
+    """
+    near = materialize(near_pairs(keyed, words, node, budget), "near")
+    ends = near.select("u", "v").unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    sets = materialize(sets_of(ends.select(F.col("u").alias("node")).distinct()), "sets")
+    partner = near.select("u", "v", "d").unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"))
+    first = partner.groupBy("u").agg(F.min(F.struct("d", "v")).alias("m")).select(F.least("u", "m.v").alias("u"), F.greatest("u", "m.v").alias("v")).distinct()
+    agreed = materialize(agreeing(first, sets, similarity), "agreed")
+    roots = components(agreed)
+    more = _apart(near, roots).join(first, ["u", "v"], "left_anti")
+    agreed = materialize(agreed.unionByName(agreeing(more, sets, similarity)), "agreed")
+    roots = components(agreed)
+    split = materialize(_apart(near, roots), "split")
+    if split.isEmpty():
+        return roots
+    group = components(near.select("u", "v"))  # loose groups, by bits alone
+    label = sets.select("node").join(group, F.col("node") == F.col("v"), "left").select("node", F.coalesce("root", "node").alias("group"))
+    mixed = label.join(split.select(F.col("u").alias("node")).join(label, "node").select("group").distinct(), "group", "left_semi")
+    member = mixed.join(roots, F.col("node") == F.col("v"), "left").select(F.col("node").alias("__n"), F.coalesce("root", "node").alias("root"))
+    open_ = keyed.join(member, F.col(node) == F.col("__n")).drop("__n")
+    rest = crossing_pairs(open_, words, node, budget).join(near, ["u", "v"], "left_anti")
+    return components(materialize(agreed.unionByName(agreeing(rest, sets, similarity)), "agreed"))
+
+
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text", id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` of which no near-duplicate with a lesser id is left: one of each class, columns unchanged.
 
     Shingles of ``width`` words, Jaccard similarity from ``similarity`` on. Fingerprints
     meet where one of ``BANDS`` keys agrees, which a pair of that similarity misses
-    in two of ten thousand cases. Rows alike in every column count as one.
+    in two of ten thousand cases; what the trie finds is checked on the shingles
+    themselves. Rows alike in every column count as one.
     """
     prints = [f"f{i}" for i in range(WORDS)]
     schema = ", ".join(["id long", "h long", *(f"{f} long" for f in prints), "bands array<bigint>"])
@@ -265,8 +374,19 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str
     printed = materialize(marked.select(F.col("__id").alias("id"), F.col("__h").alias("h"), text).mapInArrow(run, schema), "sketches")
     nodes = printed.groupBy(*prints).agg(F.min(F.struct("id", "h")).alias("least"), F.first("bands").alias("bands"))
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    edges = meet(nodes.select("node", *prints, F.explode("bands").alias("key")), prints, "node", bits_for(similarity))
-    roots = components(edges)
+
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = [np.unique(shingle_hashes(t or "", width)).tobytes() for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "shingles"])
+
+    def sets_of(wanted: DataFrame) -> DataFrame:
+        where = nodes.join(wanted, "node", "left_semi").select("node", F.col("least.id").alias("__id"), F.col("least.h").alias("__h"))
+        found = marked.select("__id", "__h", F.col(text).alias("__text")).join(where, ["__id", "__h"]).select("node", "__text")
+        return found.dropDuplicates(["node"]).mapInArrow(shingled, "node long, shingles binary")
+
+    keyed = nodes.select("node", *prints, F.explode("bands").alias("key"))
+    roots = exact_classes(keyed, sets_of, prints, "node", bits_for(similarity), similarity)
     held = nodes.select("node", "least").join(roots, F.col("node") == F.col("v"), "left").select("least", F.coalesce("root", "node").alias("root"))
     stay = held.groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.id").alias("__id"), F.col("k.h").alias("__h"))
     return marked.join(stay, ["__id", "__h"], "left_semi").dropDuplicates(["__id", "__h"]).select(*docs.columns)

@@ -167,6 +167,30 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in kept) == [2, 9]
 
 
+def test_keep_one_is_exact(spark):
+    """Groups of near copies on both sides of the limit, a hub of copies unlike each other among them, against brute force."""
+    rng = np.random.default_rng(11)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() if len(words(r.text)) > 20]
+    for _ in range(6):
+        base = [f"v{k}" for k in rng.integers(0, 9000, 300)]
+        texts.append(" ".join(base))
+        for edits in (1, 3, 5, 6, 6, 6, 6, 7, 8, 10, 14):
+            other = list(base)
+            for at in rng.choice(300, edits, replace=False):
+                other[at] = f"e{rng.integers(0, 10**9)}"
+            texts.append(" ".join(other))
+    sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
+                a, b = root[i], root[j]
+                root = [b if c == a else c for c in root]
+    got = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id").collect()
+    want = {min(k for k in range(len(texts)) if root[k] == c) for c in root}
+    assert {r.doc_id for r in got} == want and len(want) < len(texts) - 20
+
+
 def test_pii(spark, odd):
     pats = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
