@@ -39,6 +39,7 @@ from driftgrid.scratch import materialize
 PREFIX = 8
 GROUP = 1000
 BATCH_STARTS = 100_000
+HOT = 10_000
 
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -191,8 +192,12 @@ def dedup(docs: DataFrame, finish: Finish, outputs: str, window: int = 35, text:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, k), *c])) for c, k in zip(out, kinds, strict=True)], names=["key", "d1", "d2", "at"])
 
     headed = materialize(src.select("d1", "d2", "text").mapInArrow(cut_heads, "key long, d1 long, d2 int, at int"), "heads")
-    often = headed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    marked = headed.join(often, "key").groupBy("d1", "d2").agg(F.collect_set(F.struct("at", (F.col("n") > GROUP).alias("long"))).alias("marks"))
+    often = materialize(headed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "often")
+    # Heads that hold over one row in HOT are fewer than HOT keys: they are broadcast and none of their rows is shuffled by key.
+    limit = headed.count() // HOT
+    hot_heads, rare = F.broadcast(often.where(F.col("n") > limit)), often.where(F.col("n") <= limit)
+    rows = headed.join(hot_heads, "key").unionByName(headed.join(hot_heads.select("key"), "key", "left_anti").join(rare, "key"))
+    marked = rows.groupBy("d1", "d2").agg(F.collect_set(F.struct("at", (F.col("n") > GROUP).alias("long"))).alias("marks"))
     me = F.xxhash64(*[c for c in src.columns if c.startswith("own_")], F.lit(0))
     src = src.withColumn("me", me)
     copies = src.groupBy("d1", "d2").agg(F.count("*").alias("copies"), F.min("me").alias("speaker")).where("copies > 1")
