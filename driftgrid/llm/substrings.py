@@ -269,10 +269,14 @@ def dedup(docs: DataFrame, finish: Finish, outputs: str, window: int = 35, text:
     alike = many.groupBy("alike").agg(F.min("body").alias("body"), F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n"))
     below = materialize(alike.select("alike", "n", F.split("body", " ").alias("w")).select("alike", "n", F.explode(windows).alias("x")).select("alike", "n", "x.*"), "nodes")
     nodes = below.groupBy("node").agg(F.sum("n").alias("n")).where("n > 1").select("node")
-    places = below.join(nodes, "node").groupBy("alike").agg(F.sort_array(F.collect_set("i")).alias("p"))
+    places = below.join(nodes, "node").groupBy("alike").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("i")).alias("p"))
     begins, ends = F.expr(f"filter(p, (x, j) -> j = 0 OR x - p[j - 1] > {window}) AS a"), F.expr(f"filter(p, (x, j) -> j = size(p) - 1 OR p[j + 1] - x > {window}) AS b")
-    runs = places.select("alike", begins, ends).select("alike", F.arrays_zip("a", "b").alias("runs"))
-    held = many.select("d1", "d2", "at", "alike").join(runs, "alike").select("d1", "d2", "at", F.explode("runs").alias("r"))
+    runs = materialize(places.select("alike", "n", begins, ends).select("alike", "n", F.arrays_zip("a", "b").alias("runs")), "runs")
+    # As with heads: fewer than HOT bodies hold over one row in HOT, and a body's runs are few, for it has less than two windows' words.
+    limit = (below.where("i = 0").agg(F.sum("n")).first()[0] or 0) // HOT
+    common, members = F.broadcast(runs.where(F.col("n") > limit).drop("n")), many.select("d1", "d2", "at", "alike")
+    other = members.join(common.select("alike"), "alike", "left_anti").join(runs.where(F.col("n") <= limit).drop("n"), "alike")
+    held = members.join(common, "alike").unionByName(other).select("d1", "d2", "at", F.explode("runs").alias("r"))
     hot = held.select("d1", "d2", (F.col("at") + F.col("r.a")).cast("long").alias("start"), (F.col("at") + F.col("r.b") + window).cast("long").alias("stop"))
     spans = found.unionByName(hot).groupBy("d1", "d2").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     open_ = cut.where("NOT done").select(*keep, "d1", "d2", F.col("left").alias("text")).join(spans, ["d1", "d2"], "left").select(*keep, "text", "spans")

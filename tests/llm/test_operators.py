@@ -114,12 +114,14 @@ def test_substrings(spark, odd):
             kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
             yield i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()
 
-    for group in (substrings.GROUP, 2):  # 2: nearly all prefixes take the long way
-        substrings.GROUP, was = group, substrings.GROUP
+    # 2: nearly all prefixes take the long way; 4: only bodies and heads with a quarter of the rows are broadcast
+    for group, hot in ((substrings.GROUP, substrings.HOT), (2, substrings.HOT), (2, 4)):
+        was = substrings.GROUP, substrings.HOT
+        substrings.GROUP, substrings.HOT = group, hot
         try:
             _both(spark, odd, substrings.op3_substring_dedup, ["doc_id", "n_words", "n_removed", "kept_sha256"], brute)
         finally:
-            substrings.GROUP = was
+            substrings.GROUP, substrings.HOT = was
 
 
 def test_simhash(spark, odd):
