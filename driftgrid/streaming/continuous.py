@@ -49,22 +49,20 @@ def window_counts_stream(points: DataFrame, width: str = "10 minutes") -> DataFr
 def answer(points: DataFrame, store: str, out: str, p: Params, checkpoint: str, trigger: dict | None = None):
     """Start the continuous query: results per closed window are appended to ``out``."""
     spark = points.sparkSession
-    closed = {"upto": None}
 
     def batch(rows: DataFrame, epoch: int) -> None:
         if rows.isEmpty():
             return
         rows.write.mode("overwrite").parquet(f"{store}/epoch={epoch}")
         seen = spark.read.parquet(store)
-        newest = rows.agg(F.max("ts")).first()[0]
-        edge = newest - newest % p.window_ms  # windows that start before it are over
-        begin = closed["upto"]
+        # Both marks follow from the store alone, so a restart or a repeated batch answers the same windows.
+        ends = seen.agg(F.max("ts").alias("now"), F.max(F.when(F.col("epoch") < epoch, F.col("ts"))).alias("before")).first()
+        edge = ends.now - ends.now % p.window_ms  # windows that start before it are over
         segs = trajectories.segments(seen.select("seq", "tid", "ts", "x", "y"), p)
         queries = trajectories.range_queries(segs, p).where(F.col("win") < edge)
-        if begin is not None:
-            queries = queries.where(F.col("win") >= begin)
+        if ends.before is not None:
+            queries = queries.where(F.col("win") >= ends.before - ends.before % p.window_ms)
         joins.merge(joins.range_pairs(queries, segs, p), queries, p).write.mode("overwrite").parquet(f"{out}/epoch={epoch}")
-        closed["upto"] = edge
 
     writer = points.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()

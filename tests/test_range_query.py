@@ -115,3 +115,18 @@ def test_streaming_equals_batch(spark, tmp_path):
     q = continuous.pair_stream(stream).writeStream.format("memory").queryName("paired").option("checkpointLocation", str(tmp_path / "c2")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("paired").count() == trajectories.pair_points(pts).where("ts0 IS NOT NULL").count()
+
+
+def test_streaming_goes_on_after_a_restart(spark, tmp_path):
+    from driftgrid.streaming import continuous
+
+    pts = S.event_points(spark, SF).withColumn("tid", F.col("tid").cast("long"))
+    cut = pts.agg(F.max("seq")).first()[0] // 2
+    for part in (pts.where(F.col("seq") <= cut), pts.where(F.col("seq") > cut)):
+        part.coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(pts.schema).parquet(str(tmp_path / "in"))
+        continuous.answer(stream, str(tmp_path / "store"), str(tmp_path / "out"), FIXTURE, str(tmp_path / "cp")).awaitTermination()
+    last = pts.agg(F.max("ts")).first()[0]
+    want = sorted((r.qid, r.n) for r in frames.run("grid", pts, FIXTURE).where(F.col("win") < last - last % FIXTURE.window_ms).collect())
+    assert sorted((r.qid, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
+    assert spark.read.parquet(str(tmp_path / "out")).select("epoch").distinct().count() == 2
