@@ -2,7 +2,8 @@
 
 Fingerprints that differ in at most ``budget`` bits agree wholly in two of
 ``budget + 2`` equal blocks of their bits, so each distinct fingerprint is sent to
-every pair of blocks, and only fingerprints that agree there meet. Within a task
+every pair of blocks, and only fingerprints that agree there meet; where too many do, they
+are dealt out anew by blocks of their other bits. Within a task
 the sorted fingerprints are a binary trie: a node is a range. Pairs of nodes go
 down together, one bit at a time, and a pair ends when its differing bits exceed
 the budget. What is found is reduced to one edge per fingerprint before it leaves
@@ -31,6 +32,7 @@ SEED = 42
 FRONTIER = 1 << 20
 BATCH_ROWS = 1 << 18
 KEEP_COUNTS = 1 << 26
+FULL, LAST = 1 << 14, 12
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -140,16 +142,49 @@ def forest(pairs: Iterator[tuple[np.ndarray, np.ndarray]], n: int) -> np.ndarray
     return root
 
 
-def block_keys(budget: int):
-    """Array column of the keys of ``fp``: one for each pair of ``budget + 2`` blocks of bits."""
-    n = budget + 2
-    cuts = [64 * i // n for i in range(n + 1)]
-    keys = []
-    for which in combinations(range(n), 2):
-        mask = sum(((1 << (cuts[b + 1] - cuts[b])) - 1) << cuts[b] for b in which)
-        mask -= (mask >> 63) << 64
-        keys.append(F.xxhash64(F.lit(",".join(map(str, which))), F.col("fp").bitwiseAND(F.lit(mask).cast("long"))))
-    return F.array(*keys)
+def _blocks(free: int, n: int) -> list[int]:
+    """The bits set in ``free`` as ``n`` masks of neighbouring bits, sizes near equal."""
+    places = [i for i in range(64) if free >> i & 1]
+    cuts = [len(places) * i // n for i in range(n + 1)]
+    return [sum(1 << i for i in places[x:y]) for x, y in zip(cuts, cuts[1:], strict=False)]
+
+
+def _signed(mask: int):
+    return F.lit(mask - ((mask >> 63) << 64)).cast("long")
+
+
+def _split(keyed: DataFrame, masks: dict[int, list[int]]) -> DataFrame:
+    """(fp, key, fixed): a row for each of the masks that follow ``fixed``; the key tells the bits under all masks so far."""
+    sub = F.coalesce(*[F.when(F.col("fixed") == _signed(m), F.array(*map(_signed, more))) for m, more in masks.items()])
+    rows = keyed.select("fp", "key", F.explode(sub).alias("fixed"))
+    return rows.select("fp", F.xxhash64("key", "fixed", F.col("fp").bitwiseAND(F.col("fixed"))).alias("key"), "fixed")
+
+
+def block_keys(fps: DataFrame, budget: int) -> DataFrame:
+    """(fp, key): fingerprints within ``budget`` bits share a key, and no key has over ``FULL`` of them.
+
+    The first keys are pairs of ``budget + 2`` blocks of bits. The fingerprints of a fuller
+    key, which fixes some bits, are dealt out anew: those within the budget agree in one of
+    ``budget + 1`` blocks of the other bits. With ``LAST`` open bits or fewer a key has
+    2 ** ``LAST`` fingerprints at most.
+    """
+    first = _blocks((1 << 64) - 1, budget + 2)
+    masks = {0: [x | y for x, y in combinations(first, 2)]}
+    keyed, held = _split(fps.select("fp", F.lit(0).cast("long").alias("key"), F.lit(0).cast("long").alias("fixed")), masks), []
+    while True:
+        level = {m for more in masks.values() for m in more}
+        if 64 - min(m.bit_count() for m in level) <= LAST:
+            break
+        full = materialize(keyed.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > FULL).select("key"), "full")
+        if full.isEmpty():
+            break
+        held.append(keyed.join(full, "key", "left_anti").select("fp", "key"))
+        masks = {m: [m | x for x in _blocks(((1 << 64) - 1) & ~m, budget + 1)] for m in level}
+        keyed = materialize(_split(keyed.join(full, "key", "left_semi"), masks), "keyed")
+    out = keyed.select("fp", "key")
+    for rows in held:
+        out = out.unionByName(rows)
+    return out
 
 
 def by_key(keyed: DataFrame, node: str, words: list[str], carried: list[str], solve, schema: str) -> DataFrame:
@@ -202,7 +237,7 @@ def meet(keyed: DataFrame, words: list[str], node: str, budget: int) -> DataFram
 
 def linked(fps: DataFrame, budget: int) -> DataFrame:
     """(u, v): edges that join all distinct ``fp`` within ``budget`` bits."""
-    return meet(fps.select("fp", F.explode(block_keys(budget)).alias("key")), ["fp"], "fp", budget)
+    return meet(block_keys(fps, budget), ["fp"], "fp", budget)
 
 
 def classes(printed: DataFrame, budget: int = 2) -> DataFrame:

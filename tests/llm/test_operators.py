@@ -140,7 +140,12 @@ def test_simhash(spark, odd):
         least = {c: min((docs[k][0] for k in range(len(docs)) if comp[k] == c and docs[k][0] is not None), default=None) for c in comp}
         return [(i, f"{p:016x}", least[c]) for (i, _), p, c in zip(docs, prints, comp, strict=True)]
 
-    _both(spark, odd, simhash.op4_simhash, ["doc_id", "fingerprint", "component_id"], brute)
+    for full in (simhash.FULL, 1):  # 1: each key that two fingerprints share is split as far as it goes
+        simhash.FULL, was = full, simhash.FULL
+        try:
+            _both(spark, odd, simhash.op4_simhash, ["doc_id", "fingerprint", "component_id"], brute)
+        finally:
+            simhash.FULL = was
 
 
 @pytest.mark.parametrize("width", [1, 4])
