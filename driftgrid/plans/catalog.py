@@ -116,6 +116,14 @@ def point_in_rect(spark, d):
     return joins.points_in_boxes(_points(spark, d), boxes, P.cell, P.eps).groupBy("qid").agg(F.count("*").alias("n_points"), F.sum("seq").alias("seq_sum"))
 
 
+@query("point_in_rect_all", f"{BASE}SELECT q.qid, count(p.seq) AS n_points, CAST(coalesce(sum(p.seq), 0) AS BIGINT) AS seq_sum FROM q LEFT JOIN pts p ON qxlo - x <= {E} AND x - qxhi <= {E} AND qylo - y <= {E} AND y - qyhi <= {E} GROUP BY q.qid")
+def point_in_rect_all(spark, d):
+    """All query squares against all points; ``point_in_rect`` answers every tenth square only."""
+    queries = _queries(spark, d)
+    pairs = joins.points_in_boxes(_points(spark, d), queries.select("qid", "qxlo", "qylo", "qxhi", "qyhi"), P.cell, P.eps)
+    return _summed(pairs, queries).withColumnRenamed("n_hits", "n_points")
+
+
 @query("result_merge", f"{BASE}SELECT q.qid, q.win, CAST(len(list_distinct(list(s.seq) FILTER (s.seq IS NOT NULL))) AS BIGINT) AS n, array_to_string(list_sort(list(s.seq) FILTER (s.seq IS NOT NULL)), ',') AS seqs FROM q LEFT JOIN segw s ON {BAND} AND {HIT} GROUP BY q.qid, q.win")
 def result_merge(spark, d):
     out = frames.run("grid", _points(spark, d), P)

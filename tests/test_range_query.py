@@ -36,6 +36,17 @@ def test_catalog_matches_duckdb(spark, name):
     assert _rows(got) == want
 
 
+def test_point_in_rect_answers_every_square(spark):
+    """All squares, by brute force over the points; a query without points counts 0."""
+    pts = np.array([(r.seq, r.x, r.y) for r in S.event_points(spark, SF).select("seq", "x", "y").collect()])
+    want = {}
+    for q in catalog.QUERIES["range_queries"](spark, SF).collect():
+        inside = (q.qxlo - pts[:, 1] <= FIXTURE.eps) & (pts[:, 1] - q.qxhi <= FIXTURE.eps) & (q.qylo - pts[:, 2] <= FIXTURE.eps) & (pts[:, 2] - q.qyhi <= FIXTURE.eps)
+        want[q.qid] = (int(inside.sum()), int(pts[inside, 0].sum()))
+    got = {r.qid: (r.n_points, r.seq_sum) for r in catalog.QUERIES["point_in_rect_all"](spark, SF).collect()}
+    assert got == want and sorted(got) == list(range(len(got))) and len(got) > 60
+
+
 def test_pairing(spark):
     rows = [(0, 1, 0, 0.0, 0.0), (1, 2, 0, 50.0, 0.0), (2, 1, 5, 400.0, 0.0), (3, 1, 6, 800.0001, 0.0), (4, 1, 7, 800.0001 + 0.9e-5, 0.0), (5, 1, 4, 801.0, 0.0)]
     got = {r.seq: r for r in trajectories.segments(spark.createDataFrame(rows, POINTS), SMALL).collect()}
