@@ -100,8 +100,10 @@ _BRACKET = rf"[\s_]{{0,3}}[\[({{<][\s_]{{0,3}}(?:{_AT}|{_DOT}|@|\.)[\s_]{{0,3}}[
 _SPACED = rf"(?<=[A-Za-z0-9])[\x20\t]{{1,3}}{_AT}[\x20\t]{{1,3}}(?=[A-Za-z0-9-]{{1,63}}(?:[\x20\t]{{1,3}}{_DOT}[\x20\t]{{1,3}}|[\[({{<\x20]{{1,3}}{_DOT}[\])}}>\x20]{{1,3}}|\.)[A-Za-z0-9-])"
 _SPACED_DOT = rf"(?<=[A-Za-z0-9])[\x20\t]{{1,3}}{_DOT}[\x20\t]{{1,3}}(?=[A-Za-z0-9])"
 _SIGNS = re.compile(rf"(?P<run>{_RUN})|(?P<bracket>{_BRACKET})|(?P<at>{_SPACED})|(?P<dot>{_SPACED_DOT})", re.IGNORECASE)
-_HINT = re.compile(rf"{_DOT}\b|[\[({{<][\s_]{{0,3}}(?:[@.]|{_AT}\b)|\b{_W}[\s,-]{{1,3}}(?:{_DOT}[\s-]{{1,3}})?{_W}\b", re.IGNORECASE)
-_ODD = re.compile("[ ­·ɐ-\U0010ffff]")
+#: Every match of ``_SIGNS`` holds one of ``_HINT``; an underscore ends a word here.
+_END = r"(?![^\W_])"
+_HINT = re.compile(rf"{_DOT}{_END}|[\[({{<][\s_]{{0,3}}(?:[@.]|{_AT}{_END})|\b{_W}[\s,-]{{1,3}}(?:{_DOT}[\s-]{{1,3}})?{_W}\b|{_SPACED}", re.IGNORECASE)
+_ODD = re.compile("[ª²³¹ºſ ­·ɐ-\U0010ffff]")
 
 
 def _letter(c: str) -> str:
@@ -153,7 +155,7 @@ def normalise(text: str) -> tuple[str, list[int], list[int], list[int]] | None:
                 word, a, b = w[0].lower(), m.start() + w.start(), m.start() + w.end() - 1
                 put("+" if word == "plus" else DIGIT_WORDS.get(word, "."), s1[a], e1[b], True)
         else:
-            sign = "@" if m.lastgroup == "at" or m.lastgroup == "bracket" and re.search(rf"\b{_AT}\b|@", m[0], re.IGNORECASE) else "."
+            sign = "@" if m.lastgroup == "at" or m.lastgroup == "bracket" and re.search(rf"(?<![^\W_]){_AT}{_END}|@", m[0], re.IGNORECASE) else "."
             put(sign, s1[m.start()], e1[m.end() - 1], True)
     for i in range(at, len(first)):
         put(first[i], s1[i], e1[i], i in touched)

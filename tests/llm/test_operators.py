@@ -224,6 +224,23 @@ def test_pii(spark, odd):
         assert pii.plain(t) == base(t)
 
 
+def test_pii_gate(monkeypatch):
+    """Each form of disguise, alone in its text, and mixed ones: found as without the gate."""
+    ats = [" at ", "  AT\t", " arroba ", " chez ", "[at]", " [at] ", "[_at_]", "( at )", "{_chez}", "<@>", "[@]"]
+    dots = [".", " dot ", "[dot]", "[_dot_]", "(punkt)", " punto ", "{_point_}", "<.>", "[.]"]
+    texts = [f"write to jane{a}example{d}com now" for a in ats for d in dots if not a.strip().isalpha() or d in dots[:3] + dots[4:6]]  # a spaced at takes no other dots
+    alone = [*texts, "call plus one five five five, one two three, four five six seven", "four zero four one eight nine four nine seven four six zero eight seven nine five", "one nine two point one six eight point one point two", "jane@exampleª.com", "1.2.3.¹", "404189497460879\u2075", "jane@ſample.com"]
+    assert all(any(s.added and (s.start, s.end) == (9, len(t) - 4) for s in pii.find(t)) for t in texts)
+    rng = np.random.default_rng(4)
+    bits = ["jane", "example", "com", "one", "two", "five", "plus", "at", "dot", "point", "arroba", "[", "]", "_", "(", ")", "<", ">", " ", " ", " ", ".", "@", "-", ",", "¹", "points", "cat", "\n"]
+    texts = alone + ["".join(rng.choice(bits, rng.integers(1, 30))) for _ in range(20000)]
+    found = [pii.find(t) for t in texts]
+    assert all(any(s.added for s in f) for f in found[: len(alone)])
+    monkeypatch.setattr(pii, "_HINT", re.compile(""))
+    monkeypatch.setattr(pii, "_ODD", re.compile(""))
+    assert found == [pii.find(t) for t in texts]
+
+
 def test_packing(spark, odd):
     lib = Tokenizer.from_file(tokens.default_path())
     for d in (SF, odd[0]):
