@@ -6,7 +6,7 @@ a normalised text and keep, for each of its letters, the stretch of the source i
 came from: look-alike letters become ASCII, spelled digits become digits, at/dot
 disguises become signs. Identifiers found there are mapped back to source
 letters and added if a disguise took part in them and no plain span of the same
-kind is touched.
+kind holds them whole; one that is wider than a plain span stands beside it.
 
 All searches run in time linear in the text. Offsets count code points, ends are
 exclusive.
@@ -174,7 +174,7 @@ def find(text: str) -> list[Span]:
             if k == len(made) or made[k] >= b:
                 continue
             s, e = start[a], end[b - 1]
-            if not any(k == kind and x < e and s < y for x, k, y in base):
+            if not any(k == kind and x <= s and e <= y for x, k, y in base):
                 out.append(Span(s, kind, e, True))
     return sorted(out)
 

@@ -241,6 +241,15 @@ def test_pii_gate(monkeypatch):
     assert found == [pii.find(t) for t in texts]
 
 
+def test_pii_wider_than_plain():
+    """A disguised identifier around a plain one is added whole; the plain span stays; one inside a plain span is not added."""
+    for t, start, end in (("to john[dot]smith@example.com now", 3, 29), ("to jane@mail.example [dot] com now", 3, 30), ("to ſam@example.com now", 3, 18)):
+        got = pii.find(t)
+        assert [(s.start, s.end) for s in got if s.added] == [(start, end)] and [(s.start, s.kind, s.end) for s in got if not s.added] == pii.plain(t) != []
+        assert pii.redact(t) == "to [EMAIL] now"
+    assert [s.added for s in pii.find("a@b.co one two three")] == [False]
+
+
 def test_packing(spark, odd):
     lib = Tokenizer.from_file(tokens.default_path())
     for d in (SF, odd[0]):
