@@ -285,6 +285,32 @@ def segment_exact_refine(spark, d):
     return bad.agg(F.count("*").cast("int").alias("missed"))
 
 
+# Boxes beside each segment's middle that hold neither end, and three boxes that differ.
+_HALF, _MX, _MY = "(seq % 300 + 0.5)", "((x1 + x2) / 2.0 + (seq % 41 - 20) * 10.0)", "((y1 + y2) / 2.0 + (seq % 37 - 18) * 10.0)"
+_LINE = f"WITH {PTS}, {LG}, {SEG}, mid AS (SELECT seq, x1, y1, x2, y2, xlo, ylo, xhi, yhi, {_MX} - CAST({_HALF} AS DOUBLE) AS cxlo, {_MY} - CAST({_HALF} AS DOUBLE) AS cylo, {_MX} + CAST({_HALF} AS DOUBLE) AS cxhi, {_MY} + CAST({_HALF} AS DOUBLE) AS cyhi FROM seg)"
+_HOLDS = lambda k: f"(x{k} BETWEEN cxlo AND cxhi AND y{k} BETWEEN cylo AND cyhi)"
+_SIDE = lambda x, y: f"(x2 - x1) * ({y} - y1) - (y2 - y1) * ({x} - x1)"
+_SIDES = ", ".join(_SIDE(x, y) for x in ("cxlo", "cxhi") for y in ("cylo", "cyhi"))
+_MEET = "(xlo <= cxhi AND cxlo <= xhi AND ylo <= cyhi AND cylo <= yhi)"
+
+
+@query("segment_line_verdict", f"{_LINE} SELECT seq, {_MEET} AS meets, {_MEET} AND least({_SIDES}) <= 0 AND greatest({_SIDES}) >= 0 AS hit FROM mid WHERE NOT {_HOLDS(1)} AND NOT {_HOLDS(2)}")
+def segment_line_verdict(spark, d):
+    """Bounds test and exact line test of each segment against a box that holds no end of it; the SQL tests on which side of the line the corners are."""
+    half = F.col("seq") % 300 + 0.5
+    mx, my = (F.col("x1") + F.col("x2")) / 2.0 + (F.col("seq") % 41 - 20) * 10.0, (F.col("y1") + F.col("y2")) / 2.0 + (F.col("seq") % 37 - 18) * 10.0
+    s = _segments(spark, d).withColumns({"cxlo": mx - half, "cylo": my - half, "cxhi": mx + half, "cyhi": my + half})
+    c, ends = B.box("c"), ((F.col("x1"), F.col("y1")), (F.col("x2"), F.col("y2")))
+    s = s.where(~B.contains_point(c, *ends[0], 0.0) & ~B.contains_point(c, *ends[1], 0.0))
+    return s.select("seq", B.intersects(B.box(), c, 0.0).alias("meets"), B.segment_hits(c, *ends[0], *ends[1]).alias("hit"))
+
+
+_wide = lambda: B.extend(_a(), F.col("seq") % 3 * 150.0)
+_WIDE = [f"(a{c} {o} seq % 3 * CAST(150 AS DOUBLE))" for c, o in (("xlo", "-"), ("ylo", "-"), ("xhi", "+"), ("yhi", "+"))]
+_touch = " OR ".join(_near(w, f"a{c}") for w, c in zip(_WIDE, ("xlo", "ylo", "xhi", "yhi"), strict=True))
+_scalar("rect_bounds_change_apart", lambda: {"r": B.bounds_change(_wide(), _a(), _b())}, {"r": f"{_touch} OR NOT ({_WIDE[0]} - bxlo <= {E} AND {_WIDE[1]} - bylo <= {E} AND bxhi - {_WIDE[2]} <= {E} AND byhi - {_WIDE[3]} <= {E})"})
+
+
 @query("order_points", f"WITH {PTS} SELECT seq, row_number() OVER (PARTITION BY tid ORDER BY ts, seq) AS place FROM pts")
 def order_points(spark, d):
     from pyspark.sql import Window

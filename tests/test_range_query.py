@@ -47,6 +47,13 @@ def test_point_in_rect_answers_every_square(spark):
     assert got == want and sorted(got) == list(range(len(got))) and len(got) > 60
 
 
+def test_verdicts_go_both_ways(spark):
+    """The line test and the change of bounds are asked where the answer is not always the same."""
+    rows = catalog.QUERIES["segment_line_verdict"](spark, SF).collect()
+    assert {(r.meets, r.hit) for r in rows} == {(False, False), (True, False), (True, True)} and len(rows) > 300
+    assert {(r.seq % 3 > 0, r.r) for r in catalog.QUERIES["rect_bounds_change_apart"](spark, SF).collect()} == {(False, True), (True, True), (True, False)}
+
+
 def test_pairing(spark):
     rows = [(0, 1, 0, 0.0, 0.0), (1, 2, 0, 50.0, 0.0), (2, 1, 5, 400.0, 0.0), (3, 1, 6, 800.0001, 0.0), (4, 1, 7, 800.0001 + 0.9e-5, 0.0), (5, 1, 4, 801.0, 0.0)]
     got = {r.seq: r for r in trajectories.segments(spark.createDataFrame(rows, POINTS), SMALL).collect()}
