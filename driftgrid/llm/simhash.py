@@ -287,9 +287,9 @@ def sketch(hashes: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def bits_for(similarity: float, bits: int = 64 * WORDS) -> int:
-    """Differing bits that about 99 in 100 pairs of this Jaccard similarity stay within."""
+    """Differing bits that about 9,999 in 10,000 pairs of this Jaccard similarity stay within."""
     share = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    return int(np.ceil(bits * share + 2.33 * np.sqrt(bits * share * (1 - share))))
+    return int(np.ceil(bits * share + 3.72 * np.sqrt(bits * share * (1 - share))))
 
 
 def _packed(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:

@@ -198,6 +198,29 @@ def test_keep_one_is_exact(spark):
     assert {r.doc_id for r in got} == want and len(want) < len(texts) - 20
 
 
+def test_keep_one_beyond_53_bits(spark):
+    """Pairs at 0.8 or more whose fingerprints differ in more bits than 99 in 100 such pairs do."""
+    rng = np.random.default_rng(21)
+    found = []
+    for n in range(2000):
+        base = [f"w{n}_{k}" for k in range(300)]
+        other = list(base)
+        for at in rng.choice(60, 6, replace=False):
+            other[5 * int(at)] = f"x{n}_{at}"
+        pair = " ".join(base), " ".join(other)
+        a, b = (np.unique(simhash.shingle_hashes(t, 5)) for t in pair)
+        if len(both := np.intersect1d(a, b)) < 0.8 * (len(a) + len(b) - len(both)):
+            continue
+        (p, x), (q, y) = simhash.sketch(a), simhash.sketch(b)
+        if sum(((i ^ j) & (2**64 - 1)).bit_count() for i, j in zip(p, q, strict=True)) > 53 and any(i == j for i, j in zip(x, y, strict=True)):
+            found.append(pair)
+            if len(found) == 2:
+                break
+    rows = [(k, t) for k, t in enumerate(t for pair in found for t in pair)]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(found) == 2 and sorted(r.doc_id for r in kept) == [0, 2]
+
+
 def test_pii(spark, odd):
     pats = [r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]"]
 
