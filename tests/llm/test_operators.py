@@ -350,3 +350,43 @@ def test_pipeline(spark, odd):
     assert corpus_pipeline.run(spark, odd[0]).count() == 0  # the quality rules turn all of the odd texts down
     real = spark.read.parquet(f"{SF}/documents.parquet").withColumns({"text": F.concat("text", F.lit(" mail a@b.co")), "kept": F.lit(1)})
     assert real.columns == corpus_pipeline.pii_stage(spark, real, SF).columns == corpus_pipeline.quality_stage(spark, real, SF).columns
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """The rows of run() on a small table against the five stages in plain Python."""
+    rng = np.random.default_rng(8)
+    make = lambda k, n=300: [("the" if i % 5 == 0 else f"v{k}x{x}") for i, x in enumerate(rng.integers(0, 10**6, n))]
+    docs = {k: make(k) for k in range(1, 5)}
+    docs[5] = [*docs[1][:100], "edited", *docs[1][101:]]  # near copy of 1
+    docs[2][42:42], docs[3][202:202] = (passage := make("p", 60)), passage
+    docs[4] += passage[:49]  # too short to go
+    docs[6], docs[7], docs[8] = make(6, 30), [f"w{i}" for i in range(200)], make(8, 60) * 3  # turned down
+    docs[9] = [*make(9, 100), "john[dot]smith@example.com", "or", "1.2.3.4", "or", "jane[_at_]example.org", "end", *make("q", 5000)]
+    texts = {k: " ".join(w) for k, w in docs.items()}
+    spark.createDataFrame([(k, t, "en", "s", len(t)) for k, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+
+    def good(w):
+        c = Counter(zip(w, w[1:], w[2:], strict=False))
+        hit = {j for k in range(len(w) - 2) if c[tuple(w[k : k + 3])] > 1 for j in (k, k + 1, k + 2)}
+        return len(w) >= 50 and 2 * len(hit) <= len(w) and 2 <= sum(map(len, w)) / len(w) <= 12 and w.count("the") / len(w) >= 0.05
+
+    kept = {k: w for k, w in docs.items() if good(w)}
+    grams = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for k, w in kept.items()}
+    kept = {k: w for k, w in kept.items() if not any(j < k and len(grams[j] & grams[k]) >= 0.8 * len(grams[j] | grams[k]) for j in kept)}
+    assert sorted(kept) == [1, 2, 3, 4, 9]
+    seen = Counter(tuple(w[i : i + 50]) for w in kept.values() for i in range(len(w) - 49))
+    lib, want = Tokenizer.from_file(tokens.default_path()), []
+    for k, w in kept.items():
+        gone = {j for i in range(len(w) - 49) if seen[tuple(w[i : i + 50])] > 1 for j in range(i, i + 50)}
+        assert len(gone) == (60 if k in (2, 3) else 0)
+        text = "".join(x for i, x in enumerate(re.findall(r"\S+\s*", texts[k])) if i not in gone)
+        for private, kind in (("john[dot]smith@example.com", "[EMAIL]"), ("1.2.3.4", "[IP]"), ("jane[_at_]example.org", "[EMAIL]")):
+            text = text.replace(private, kind)
+        ids = np.array([*lib.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        want += [(k, n, at, len(part := ids[at : at + 4096]), zlib.crc32(part.tobytes())) for n, at in enumerate(range(0, len(ids), 4096))]
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == Counter(want) and len(want) > 5
+    by = defaultdict(list)
+    for r in got:
+        by[r.sequence_id].append((r.offset, r.length))
+    assert all([o for o, _ in sorted(g)] == np.cumsum([0, *(n for _, n in sorted(g))])[:-1].tolist() and sum(n for _, n in g) <= 4096 for g in by.values())
