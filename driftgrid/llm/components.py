@@ -4,6 +4,10 @@ Every round hangs each vertex's larger neighbours, then its smaller ones, on its
 least neighbour; after a few rounds each component is one star around its least
 vertex. All steps are joins and combinable aggregates over (u, v) rows, each round
 is written to shared scratch, and only two numbers a round reach the driver.
+
+The middle of a large star would be one join key with all the star's edges. A vertex
+with over one edge in ``HOT`` is one of fewer than ``HOT``, so the least neighbours
+of those are broadcast and their edges are never dealt out by vertex.
 """
 
 from __future__ import annotations
@@ -11,7 +15,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftgrid.scratch import materialize
+from driftgrid.scratch import drop, materialize
+
+HOT = 1000
+
+
+def _with_least(edges: DataFrame, least: DataFrame, n: int) -> DataFrame:
+    """``edges`` (u, v) with ``m``, the least neighbour of u, from ``least`` (w, m, degree)."""
+    hot, other = (least.where(F.coalesce(F.col("degree"), F.lit(0)) > n // HOT), least.where(F.coalesce(F.col("degree"), F.lit(0)) <= n // HOT))
+    by_hot = edges.join(F.broadcast(hot), F.col("u") == F.col("w")).select("u", "v", "m")
+    rest = edges.join(F.broadcast(hot.select("w")), F.col("u") == F.col("w"), "left_anti")
+    return by_hot.unionByName(rest.join(other, F.col("u") == F.col("w")).select("u", "v", "m"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -29,9 +43,11 @@ def components(edges: DataFrame) -> DataFrame:
             return stars.select(F.col("u").alias("v"), F.col("v").alias("root"))
         seen = mark
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m")).select("w", F.least("w", "m").alias("m"))
-        large = both.where("v > u").join(least, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = materialize(both.groupBy(F.col("u").alias("w")).agg(F.least(F.col("w"), F.min("v")).alias("m"), F.count("*").alias("degree")), "least")
+        large = _with_least(both.where("v > u"), least, mark[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = materialize(large, "large")
-        low = large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"))
-        moved = large.join(low, F.col("u") == F.col("w")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        stars = materialize(low.select(F.col("w").alias("u"), F.col("m").alias("v")).unionByName(moved).distinct(), "small")
+        low = materialize(large.groupBy(F.col("u").alias("w")).agg(F.min("v").alias("m"), F.count("*").alias("degree")), "low")
+        moved = _with_least(large, low, mark[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        after = materialize(low.select(F.col("w").alias("u"), F.col("m").alias("v")).unionByName(moved).distinct(), "small")
+        drop(stars, least, large, low)
+        stars = after

@@ -1,17 +1,20 @@
 """SimHash near-duplicates by a binary trie self-join.
 
-Fingerprints that differ in at most ``budget`` bits agree wholly in two of
-``budget + 2`` equal blocks of their bits, so each distinct fingerprint is sent to
-every pair of blocks, and only fingerprints that agree there meet; where too many do, they
-are dealt out anew by blocks of their other bits. Within a task
-the sorted fingerprints are a binary trie: a node is a range. Pairs of nodes go
-down together, one bit at a time, and a pair ends when its differing bits exceed
-the budget. What is found is reduced to one edge per fingerprint before it leaves
-the task; components are then found over these edges.
+The trie is spread over tasks in two steps. First, keys: fingerprints that differ in
+at most ``budget`` bits agree wholly in two of ``budget + 2`` equal blocks of their
+bits, so each distinct fingerprint is sent to every pair of blocks, and only
+fingerprints that agree there meet. This prunes before the trie does: with 2 bits of
+64 allowed, a key fixes 32 bits and the trie joins the rest. Where too many
+fingerprints share a key, they are dealt out anew by blocks of their other bits.
+Then, within a task, the sorted fingerprints of a key are a binary trie: a node is a
+range. Pairs of nodes go down together, one bit at a time, and a pair ends when its
+differing bits exceed the budget. What is found is reduced to one edge per
+fingerprint before it leaves the task; components are then found over these edges.
 
 Defined cases: a null text has no words, like an empty one, and both have
 fingerprint zero, linked like any other; repeated rows share a class; a class of
-null ids alone has a null id; an empty table gives an empty result.
+null ids alone has a null id; a long text is hashed whole, its bits counted in steps
+of 65,536 shingles; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +28,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftgrid.llm.columns import unused
 from driftgrid.llm.components import components
-from driftgrid.scratch import materialize
+from driftgrid.scratch import drop, materialize
 
 SEED = 42
 FRONTIER = 1 << 20
 BATCH_ROWS = 1 << 18
+BATCH_BYTES = 1 << 25
 KEEP_COUNTS = 1 << 26
 FULL, LAST = 1 << 14, 12
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -187,39 +192,54 @@ def block_keys(fps: DataFrame, budget: int) -> DataFrame:
     return out
 
 
-def by_key(keyed: DataFrame, node: str, words: list[str], carried: list[str], solve, schema: str) -> DataFrame:
-    """What ``solve(key, bits, rest)`` makes of the rows, sorted by key and fingerprint, of some whole keys.
+def in_blocks(keyed: DataFrame, node: str, load, most: int) -> DataFrame:
+    """``keyed`` with each key whose ``load`` (an aggregate) is over ``most`` split into keys of its own for every two blocks of its nodes.
+
+    Two nodes of a key still share one, and no key holds much over twice ``most``.
+    """
+    full = keyed.groupBy(F.col("key").alias("__key")).agg(load.alias("__load")).where(F.col("__load") > most).withColumn("__n", F.ceil(F.col("__load") / most).cast("int"))
+    mine, other = F.pmod(F.xxhash64(F.col(node)), F.col("__n")).cast("int"), F.col("__other")
+    both = keyed.join(full.select("__key", "__n"), F.col("key") == F.col("__key"), "left")
+    dealt = both.withColumn("__other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__n"), F.lit(1)) - 1)))
+    key = F.when(F.col("__n").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least(mine, other), F.greatest(mine, other)))
+    return dealt.withColumn("key", key).drop("__key", "__n", "__other")
+
+
+def by_key(keyed: DataFrame, node: str, words: list[str], carried: list[str], solve, schema: str, payload: str | None = None) -> DataFrame:
+    """What ``solve(key, bits, rest, payload)`` makes of the rows, sorted by key and fingerprint, of some whole keys.
 
     ``keyed`` has key, the node, the fingerprint's words and the columns carried (all
     longs); a key and a fingerprint together stand once. ``rest`` has the node's
-    and the carried columns' values.
+    and the carried columns' values; ``payload`` the bytes of that column.
     """
     parts = max(1, int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     columns = list(dict.fromkeys(["key", node, *words, *carried]))
-    sent = keyed.select(*columns).repartition(parts, "key").sortWithinPartitions("key")
+    sent = keyed.select(*columns, *[payload] * bool(payload)).repartition(parts, "key").sortWithinPartitions("key")
     at = [columns.index(c) for c in ("key", *words, node, *carried)]
     n = len(words)
 
-    def sorted_rows(rows: np.ndarray) -> pa.RecordBatch:
+    def sorted_rows(rows: np.ndarray, data: list) -> pa.RecordBatch:
         bits = np.ascontiguousarray(rows[1 : n + 1].T).view(np.uint64)
         order = np.lexsort([*bits.T[::-1], rows[0]])
-        return solve(rows[0][order], bits[order], rows[n + 1 :, order])
+        return solve(rows[0][order], bits[order], rows[n + 1 :, order], [data[i] for i in order] if payload else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        size = 0
+        held, data, size = np.zeros((len(at), 0), np.int64), [], 0
         for batch in batches:
-            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in at]))
-            size += batch.num_rows
-            if size * n >= BATCH_ROWS:  # whole groups only; the last may go on
-                rows = np.concatenate(held, axis=1)
-                cut = np.flatnonzero(rows[0] != rows[0, -1])
-                if len(cut):
-                    yield sorted_rows(rows[:, : cut[-1] + 1])
-                    rows = rows[:, cut[-1] + 1 :]
-                held, size = [rows], rows.shape[1]
-        if held:
-            yield sorted_rows(np.concatenate(held, axis=1))
+            for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)) if payload else (batch,):
+                held = np.concatenate([held, np.stack([part.column(i).to_numpy(zero_copy_only=False) for i in at])], axis=1)
+                if payload:
+                    data += part.column(len(columns)).to_pylist()
+                    size += part.column(len(columns)).nbytes
+                if held.shape[1] * n >= BATCH_ROWS or size >= BATCH_BYTES:  # whole groups only; the last may go on
+                    cut = np.flatnonzero(held[0] != held[0, -1])
+                    if len(cut):
+                        end = cut[-1] + 1
+                        yield sorted_rows(held[:, :end], data[:end])
+                        held, data = held[:, end:], data[end:]
+                        size = sum(map(len, data))
+        if held.shape[1]:
+            yield sorted_rows(held, data)
 
     return sent.mapInArrow(run, schema)
 
@@ -227,7 +247,7 @@ def by_key(keyed: DataFrame, node: str, words: list[str], carried: list[str], so
 def meet(keyed: DataFrame, words: list[str], node: str, budget: int) -> DataFrame:
     """(u, v): edges between ``node`` values within ``budget`` bits that share a ``key``, at most one a node and key."""
 
-    def solve(key: np.ndarray, bits: np.ndarray, rest: np.ndarray) -> pa.RecordBatch:
+    def solve(key: np.ndarray, bits: np.ndarray, rest: np.ndarray, _) -> pa.RecordBatch:
         root = forest(trie_pairs(key, bits, budget), len(key))
         hung = np.flatnonzero(root != np.arange(len(key)))
         return pa.RecordBatch.from_arrays([pa.array(rest[0, hung]), pa.array(rest[0, root[hung]])], names=["u", "v"])
@@ -265,7 +285,10 @@ def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 WORDS = 4
 BANDS, BAND_ROWS = 16, 4
+#: Nodes, and bytes of shingle sets, of one key that are compared by one task; fuller keys are split.
+FULL_KEY, FULL_BYTES = 1 << 13, 1 << 25
 _SEEDS = np.random.default_rng(7).integers(1, 1 << 63, WORDS + 2 * BANDS * BAND_ROWS, dtype=np.uint64) | np.uint64(1)
+PRINTS = [f"f{i}" for i in range(WORDS)]
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -292,47 +315,116 @@ def bits_for(similarity: float, bits: int = 64 * WORDS) -> int:
     return int(np.ceil(bits * share + 3.72 * np.sqrt(bits * share * (1 - share))))
 
 
-def _packed(pairs: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-    """(u, v, d), u < v."""
-    x, y, d = (np.concatenate([p[i] for p in pairs] or [np.zeros(0, np.int64)]).astype(np.int64) for i in range(3))
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(d)], names=["u", "v", "d"])
-
-
-def near_pairs(keyed: DataFrame, words: list[str], node: str, budget: int) -> DataFrame:
-    """(u, v, d): of each node and key the nearest partner and the one it hangs on, with their differing bits."""
-
-    def solve(key: np.ndarray, bits: np.ndarray, rest: np.ndarray) -> pa.RecordBatch:
-        none = np.iinfo(np.int64).max
-        near = np.full(len(key), none)
-        apart = lambda i, j: np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
-
-        def watched() -> Iterator[tuple[np.ndarray, np.ndarray]]:
-            for i, j in trie_pairs(key, bits, budget):
-                d = apart(i, j) << 32
-                np.minimum.at(near, i, d | j)
-                np.minimum.at(near, j, d | i)
-                yield i, j
-
-        root = forest(watched(), len(key))
-        hung, close = np.flatnonzero(root != np.arange(len(key))), np.flatnonzero(near != none)
-        edges = [(hung, root[hung]), (close, near[close] & 0xFFFFFFFF)]
-        return _packed([(rest[0, i], rest[0, j], apart(i, j)) for i, j in edges])
-
-    return by_key(keyed, node, words, [], solve, "u long, v long, d long").groupBy("u", "v").agg(F.min("d").alias("d"))
-
-
-def crossing_pairs(keyed: DataFrame, words: list[str], node: str, budget: int) -> DataFrame:
-    """(u, v, d): all pairs within ``budget`` bits that share a key and differ in ``root``."""
+def _apart(bits: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)
+
+
+def _possible(key: np.ndarray, bits: np.ndarray, sizes: np.ndarray, budget: int, similarity: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """What the trie finds, without pairs of sets whose sizes alone rule the similarity out."""
+    for i, j in trie_pairs(key, bits, budget):
+        fit = np.minimum(sizes[i], sizes[j]) >= similarity * np.maximum(sizes[i], sizes[j]) - 1e-9
+        yield i[fit], j[fit]
+
+
+def _near(key: np.ndarray, bits: np.ndarray, sizes: np.ndarray, budget: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Places (i, j), i < j, of each node's nearest partner and of the one that it hangs on."""
+    none = np.iinfo(np.int64).max
+    near = np.full(len(key), none)
+
+    def watched() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for i, j in _possible(key, bits, sizes, budget, similarity):
+            d = _apart(bits, i, j) << 32
+            np.minimum.at(near, i, d | j)
+            np.minimum.at(near, j, d | i)
+            yield i, j
+
+    root = forest(watched(), len(key))
+    hung, close = np.flatnonzero(root != np.arange(len(key))), np.flatnonzero(near != none)
+    x, y = np.concatenate([hung, close]), np.concatenate([root[hung], near[close] & 0xFFFFFFFF])
+    both = np.unique(np.minimum(x, y) << 32 | np.maximum(x, y))
+    return both >> 32, both & 0xFFFFFFFF
+
+
+def near_pairs(keyed: DataFrame, budget: int, similarity: float) -> DataFrame:
+    """(u, v, d), u < v: of each node and key the nearest partner and the one it hangs on, with their differing bits."""
+
+    def solve(key: np.ndarray, bits: np.ndarray, rest: np.ndarray, _) -> pa.RecordBatch:
+        i, j = _near(key, bits, rest[1], budget, similarity)
+        x, y = rest[0, i], rest[0, j]
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y)), pa.array(_apart(bits, i, j))], names=["u", "v", "d"])
+
+    return by_key(keyed, "node", PRINTS, ["size"], solve, "u long, v long, d long").groupBy("u", "v").agg(F.min("d").alias("d"))
+
+
+def still_open(keyed: DataFrame, budget: int, similarity: float) -> DataFrame:
+    """(key, node): the nodes that within a key have a possible partner in another component, beside the :func:`near_pairs`."""
+
+    def solve(key: np.ndarray, bits: np.ndarray, rest: np.ndarray, _) -> pa.RecordBatch:
+        i, j = _near(key, bits, rest[1], budget, similarity)
+        known = i << 32 | j
+        mark = np.zeros(len(key), bool)
+        for i, j in _possible(key, bits, rest[1], budget, similarity):
+            new = (rest[2, i] != rest[2, j]) & ~(mark[i] & mark[j])
+            i, j = i[new], j[new]
+            new = ~np.isin(i << 32 | j, known)
+            mark[i[new]] = mark[j[new]] = True
+        return pa.RecordBatch.from_arrays([pa.array(key[mark]), pa.array(rest[0, mark])], names=["key", "node"])
+
+    return by_key(keyed, "node", PRINTS, ["size", "root"], solve, "key long, node long")
+
+
+def _links(sets: list[np.ndarray], root: np.ndarray, i: np.ndarray, j: np.ndarray, similarity: float) -> list[tuple[int, int]]:
+    """Of the pairs (i, j) as many that have the similarity as it takes to join the components that any of them join."""
+    code = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    sizes = np.array([len(s) for s in sets])
+    starts = np.cumsum(sizes) - sizes
+    names, root = np.unique(root, return_inverse=True)
+    main = np.bincount(root).argmax()  # a pair of two components has an end outside of the largest
+    one, other = np.where(root[i] != main, i, j), np.where(root[i] != main, j, i)
+    order = np.argsort(one, kind="stable")
+    one, other = one[order], other[order]
+    cuts = np.flatnonzero(np.append(True, one[1:] != one[:-1]))
+    out, has = [], np.zeros(code.max(initial=-1) + 1, bool)
+    for a, b in zip(cuts.tolist(), np.append(cuts[1:], len(one)).tolist(), strict=True):
+        x, ys = int(one[a]), other[a:b]
+        ys = ys[root[ys] != root[x]]
+        if not len(ys):
+            continue
+        mine = code[starts[x] : starts[x] + sizes[x]]
+        has[mine] = True
+        both = np.add.reduceat(has[code], starts)[ys]
+        has[mine] = False
+        for y in ys[both >= similarity * (sizes[x] + sizes[ys] - both) - 1e-9].tolist():
+            if root[x] != root[y]:
+                out.append((x, y))
+                root[root == root[y]] = root[x]
+    return out
 
-    def solve(key: np.ndarray, bits: np.ndarray, rest: np.ndarray) -> pa.RecordBatch:
-        out = []
-        for i, j in trie_pairs(key, bits, budget):
-            other = rest[1, i] != rest[1, j]
-            i, j = i[other], j[other]
-            out.append((rest[0, i], rest[0, j], np.bitwise_count(bits[i] ^ bits[j]).sum(axis=1, dtype=np.int64)))
-        return _packed(out)
 
-    return by_key(keyed, node, words, ["root"], solve, "u long, v long, d long").groupBy("u", "v").agg(F.min("d").alias("d"))
+def verified_links(keyed: DataFrame, budget: int, similarity: float) -> DataFrame:
+    """(u, v): within each key, links between components (``root``) checked on the sets (``shingles``), a spanning forest of them."""
+
+    def solve(key: np.ndarray, bits: np.ndarray, rest: np.ndarray, data: list[bytes]) -> pa.RecordBatch:
+        found = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in _possible(key, bits, rest[1], budget, similarity):
+            cross = rest[2, i] != rest[2, j]
+            found[0].append(i[cross])
+            found[1].append(j[cross])
+        i, j = (np.concatenate(f) for f in found)
+        order = np.argsort(i, kind="stable")  # rows are sorted by key
+        i, j, edges = i[order], j[order], [np.zeros((0, 2), np.int64)]
+        starts = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+        cuts = np.searchsorted(i, np.append(starts, len(key)))
+        for k, lo in enumerate(starts.tolist()):
+            x, y = i[cuts[k] : cuts[k + 1]] - lo, j[cuts[k] : cuts[k + 1]] - lo
+            if len(x):
+                hi = int(starts[k + 1]) if k + 1 < len(starts) else len(key)
+                links = _links([np.frombuffer(d, np.uint64) for d in data[lo:hi]], rest[2, lo:hi], x, y, similarity)
+                edges.append(np.array(links, np.int64).reshape(-1, 2) + lo)
+        uv = rest[0][np.concatenate(edges)]
+        return pa.RecordBatch.from_arrays([pa.array(uv[:, 0]), pa.array(uv[:, 1])], names=["u", "v"])
+
+    return by_key(keyed, "node", PRINTS, ["size", "root"], solve, "u long, v long", "shingles")
 
 
 def agreeing(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -343,72 +435,76 @@ def agreeing(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             good = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
                 x, y = (np.frombuffer(c.as_buffer(), np.uint64) for c in (a, b))
-                short, long = min(len(x), len(y)), max(len(x), len(y))
-                both = len(np.intersect1d(x, y, assume_unique=True)) if short >= similarity * long else 0
-                good.append(both >= similarity * (short + long - both) - 1e-9)
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                good.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
             yield batch.select(["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     ends = [sets.select(F.col("node").alias(e), F.col("shingles").alias(f"{e}_set")) for e in ("u", "v")]
     return pairs.select("u", "v").join(ends[0], "u").join(ends[1], "v").select("u", "v", "u_set", "v_set").mapInArrow(run, "u long, v long")
 
 
-def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs whose ends are not of one component yet."""
-    for e in ("u", "v"):
-        pairs = pairs.join(roots.select(F.col("v").alias("__v"), F.col("root").alias(f"{e}_root")), F.col(e) == F.col("__v"), "left").drop("__v")
-    return pairs.where(F.coalesce("u_root", "u") != F.coalesce("v_root", "v")).drop("u_root", "v_root")
+def _rooted(rows: DataFrame, roots: DataFrame, node: str = "node", name: str = "root") -> DataFrame:
+    """``rows`` with the component of ``node``."""
+    found = roots.select(F.col("v").alias("__v"), F.col("root").alias("__root"))
+    return rows.join(found, F.col(node) == F.col("__v"), "left").withColumn(name, F.coalesce("__root", node)).drop("__v", "__root")
 
 
-def exact_classes(keyed: DataFrame, sets_of, words: list[str], node: str, budget: int, similarity: float) -> DataFrame:
+def exact_classes(keyed: DataFrame, sets_of, budget: int, similarity: float) -> DataFrame:
     """(v, root): components of the pairs that meet within ``budget`` bits and truly have the similarity.
 
-    Not all pairs are looked at: first each node's nearest partner, then what it hangs on,
-    then, only in groups that these pairs leave in several components, every pair of
-    different components. ``sets_of(nodes)`` gives (node, shingles).
+    Pairs are not listed: each round's rows follow the nodes and their keys. First each
+    node's nearest partner is checked on the shingles, then the other
+    :func:`near_pairs` of different components. Nodes that after this may still have
+    a partner in another component go, with their sets, to the tasks of their keys
+    once more, where all such pairs are checked in place and only the links that join
+    components leave the task. ``keyed`` has key, node, the fingerprint and size;
+    ``sets_of(nodes)`` gives (node, shingles).
     """
-    near = materialize(near_pairs(keyed, words, node, budget), "near")
-    ends = near.select("u", "v").unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    sets = materialize(sets_of(ends.select(F.col("u").alias("node")).distinct()), "sets")
-    partner = near.select("u", "v", "d").unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"))
-    first = partner.groupBy("u").agg(F.min(F.struct("d", "v")).alias("m")).select(F.least("u", "m.v").alias("u"), F.greatest("u", "m.v").alias("v")).distinct()
+    dealt = in_blocks(keyed, "node", F.count("*"), FULL_KEY)
+    near = materialize(near_pairs(dealt, budget, similarity), "near")
+    both_ways = near.select("u", "v", "d").unionByName(near.select(F.col("v").alias("u"), F.col("u").alias("v"), "d"))
+    sets = materialize(sets_of(both_ways.select(F.col("u").alias("node")).distinct()), "sets")
+    first = both_ways.groupBy("u").agg(F.min(F.struct("d", "v")).alias("m")).select(F.least("u", "m.v").alias("u"), F.greatest("u", "m.v").alias("v")).distinct()
     agreed = materialize(agreeing(first, sets, similarity), "agreed")
     roots = components(agreed)
-    more = _apart(near, roots).join(first, ["u", "v"], "left_anti")
-    agreed = materialize(agreed.unionByName(agreeing(more, sets, similarity)), "agreed")
-    roots = components(agreed)
-    split = materialize(_apart(near, roots), "split")
-    if split.isEmpty():
-        return roots
-    group = components(near.select("u", "v"))  # loose groups, by bits alone
-    label = sets.select("node").join(group, F.col("node") == F.col("v"), "left").select("node", F.coalesce("root", "node").alias("group"))
-    mixed = label.join(split.select(F.col("u").alias("node")).join(label, "node").select("group").distinct(), "group", "left_semi")
-    member = mixed.join(roots, F.col("node") == F.col("v"), "left").select(F.col("node").alias("__n"), F.coalesce("root", "node").alias("root"))
-    open_ = keyed.join(member, F.col(node) == F.col("__n")).drop("__n")
-    rest = crossing_pairs(open_, words, node, budget).join(near, ["u", "v"], "left_anti")
-    return components(materialize(agreed.unionByName(agreeing(rest, sets, similarity)), "agreed"))
+    more = _rooted(_rooted(near.select("u", "v"), roots, "u", "a"), roots, "v", "b").where("a <> b").select("u", "v").join(first, ["u", "v"], "left_anti")
+    stars = roots.select(F.col("v").alias("u"), F.col("root").alias("v"))
+    roots = components(materialize(stars.unionByName(agreeing(more, sets, similarity)), "agreed"))
+    some = _rooted(keyed.join(sets.select("node"), "node", "left_semi"), roots)
+    open_ = materialize(still_open(in_blocks(some, "node", F.count("*"), FULL_KEY), budget, similarity), "open")
+    facts = some.select("node", *PRINTS, "size", "root").dropDuplicates(["node"])
+    again = in_blocks(open_.join(facts, "node"), "node", F.sum(F.col("size") * 8), FULL_BYTES)
+    links = verified_links(again.join(sets, "node"), budget, similarity)
+    stars = roots.select(F.col("v").alias("u"), F.col("root").alias("v"))
+    return components(materialize(stars.unionByName(links), "agreed"))
 
 
 def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str = "text", id: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` of which no near-duplicate with a lesser id is left: one of each class, columns unchanged.
 
-    Shingles of ``width`` words, Jaccard similarity from ``similarity`` on. Fingerprints
-    meet where one of ``BANDS`` keys agrees, which a pair of that similarity misses
-    in two of ten thousand cases; what the trie finds is checked on the shingles
-    themselves. Rows alike in every column count as one.
+    Shingles of ``width`` words, Jaccard similarity from ``similarity`` on. Texts of the
+    same shingle set are one node. Nodes meet where one of ``BANDS`` keys agrees, which
+    a pair of that similarity misses in two of ten thousand cases; what the trie finds
+    is checked on the shingles themselves. A text without words is like no other text
+    but those without words. Rows alike in every column count as one; rows without an
+    id go before none with one.
     """
-    prints = [f"f{i}" for i in range(WORDS)]
-    schema = ", ".join(["id long", "h long", *(f"{f} long" for f in prints), "bands array<bigint>"])
+    schema = ", ".join(["id long", "h long", "set_a long", "set_b long", "size long", *(f"{f} long" for f in PRINTS), "bands array<bigint>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [sketch(shingle_hashes(t or "", width)) for t in batch.column(2).to_pylist()]
-            columns = [pa.array([m[0][i] for m in made], pa.int64()) for i in range(WORDS)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["id", "h", *prints, "bands"])
-
-    marked = docs.withColumn("__h", F.xxhash64(*docs.columns)).withColumn("__id", F.coalesce(F.col(id).cast("long"), F.lit(2**63 - 1)))
-    printed = materialize(marked.select(F.col("__id").alias("id"), F.col("__h").alias("h"), text).mapInArrow(run, schema), "sketches")
-    nodes = printed.groupBy(*prints).agg(F.min(F.struct("id", "h")).alias("least"), F.first("bands").alias("bands"))
+            sets = [np.unique(shingle_hashes(t or "", width)) for t in batch.column(2).to_pylist()]
+            made = [sketch(s) for s in sets]
+            digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s) for s in sets), np.int64).reshape(-1, 2)
+            columns = [pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array([len(s) for s in sets], pa.int64()), *[pa.array([m[0][i] for m in made], pa.int64()) for i in range(WORDS)]]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns, pa.array([m[1] for m in made], pa.list_(pa.int64()))], names=["id", "h", "set_a", "set_b", "size", *PRINTS, "bands"])
+
+    mark_id, mark = unused(docs, "__id", "__h")
+    marked = docs.withColumn(mark, F.xxhash64(*docs.columns)).withColumn(mark_id, F.coalesce(F.col(id).cast("long"), F.lit(2**63 - 1)))
+    printed = materialize(marked.select(F.col(mark_id).alias("id"), F.col(mark).alias("h"), F.col(text).alias("text")).mapInArrow(run, schema), "sketches")
+    nodes = printed.groupBy("set_a", "set_b").agg(F.min(F.struct("id", "h")).alias("least"), *[F.first(c).alias(c) for c in ("size", *PRINTS, "bands")])
     nodes = materialize(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    drop(printed)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -416,12 +512,12 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "shingles"])
 
     def sets_of(wanted: DataFrame) -> DataFrame:
-        where = nodes.join(wanted, "node", "left_semi").select("node", F.col("least.id").alias("__id"), F.col("least.h").alias("__h"))
-        found = marked.select("__id", "__h", F.col(text).alias("__text")).join(where, ["__id", "__h"]).select("node", "__text")
+        where = nodes.join(wanted, "node", "left_semi").select("node", F.col("least.id").alias("at_id"), F.col("least.h").alias("at_h"))
+        found = marked.select(F.col(mark_id).alias("at_id"), F.col(mark).alias("at_h"), F.col(text).alias("text")).join(where, ["at_id", "at_h"]).select("node", "text")
         return found.dropDuplicates(["node"]).mapInArrow(shingled, "node long, shingles binary")
 
-    keyed = nodes.select("node", *prints, F.explode("bands").alias("key"))
-    roots = exact_classes(keyed, sets_of, prints, "node", bits_for(similarity), similarity)
-    held = nodes.select("node", "least").join(roots, F.col("node") == F.col("v"), "left").select("least", F.coalesce("root", "node").alias("root"))
-    stay = held.groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.id").alias("__id"), F.col("k.h").alias("__h"))
-    return marked.join(stay, ["__id", "__h"], "left_semi").dropDuplicates(["__id", "__h"]).select(*docs.columns)
+    keyed = nodes.where("size > 0").select("node", "size", *PRINTS, F.explode(F.array_distinct("bands")).alias("key"))
+    roots = exact_classes(keyed, sets_of, bits_for(similarity), similarity)
+    held = _rooted(nodes.select("node", "least"), roots)
+    stay = held.groupBy("root").agg(F.min("least").alias("k")).select(F.col("k.id").alias(mark_id), F.col("k.h").alias(mark))
+    return marked.join(stay, [mark_id, mark], "left_semi").dropDuplicates([mark_id, mark]).select(*docs.columns)

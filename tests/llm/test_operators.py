@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from driftgrid.llm import packing, pieces, pii, quality, sharding, simhash, substrings, tokens, topk, urls
+from driftgrid.llm import components, packing, pieces, pii, quality, sharding, simhash, substrings, tokens, topk, urls
 
 SF = "/root/testdata/sf0.001"
 ODD = [
@@ -174,7 +174,7 @@ def test_keep_one(spark):
     assert sorted(r.doc_id for r in kept) == [2, 9]
 
 
-def test_keep_one_is_exact(spark):
+def test_keep_one_is_exact(spark, monkeypatch):
     """Groups of near copies on both sides of the limit, a hub of copies unlike each other among them, against brute force."""
     rng = np.random.default_rng(11)
     texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").select("text").collect() if len(words(r.text)) > 20]
@@ -193,9 +193,29 @@ def test_keep_one_is_exact(spark):
             if root[i] != root[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]) - 1e-9:
                 a, b = root[i], root[j]
                 root = [b if c == a else c for c in root]
-    got = simhash.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).select("doc_id").collect()
     want = {min(k for k in range(len(texts)) if root[k] == c) for c in root}
-    assert {r.doc_id for r in got} == want and len(want) < len(texts) - 20
+    assert len(want) < len(texts) - 20
+    docs = spark.createDataFrame([(i, t, "a", 1) for i, t in enumerate(texts)], "doc_id long, text string, __h string, node int")
+    for full, size in ((simhash.FULL_KEY, simhash.FULL_BYTES), (3, 3000)):  # the latter: all but the smallest keys are split into blocks
+        monkeypatch.setattr(simhash, "FULL_KEY", full)
+        monkeypatch.setattr(simhash, "FULL_BYTES", size)
+        kept = simhash.keep_one(docs)
+        assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == want
+
+
+def test_components(spark, monkeypatch):
+    """A star whose middle holds a third of all edges, chains and loose pairs, with many vertices taken for hot ones and with none."""
+    rng = np.random.default_rng(6)
+    edges = [(500, k) for k in range(501, 600)] + [(k, k + 1) for k in range(1000, 1040)] + [(int(a), int(b)) for a, b in rng.integers(2000, 2200, (120, 2))] + [(7, 7), (None, 3), (500, 501)]
+    root = {v: v for e in edges if None not in e for v in e}
+    for _ in root:
+        for a, b in edges:
+            if None not in (a, b):
+                root[a] = root[b] = min(root[a], root[b])
+    want = {(v, r) for v, r in root.items() if v != r}
+    for hot in (1, 20, 10**6):
+        monkeypatch.setattr(components, "HOT", hot)
+        assert {tuple(r) for r in components.components(spark.createDataFrame(edges, "u long, v long")).collect()} == want
 
 
 def test_keep_one_beyond_53_bits(spark):
