@@ -1,26 +1,34 @@
 """Substring deduplication with prefix-partitioned suffix trees.
 
 Every window of ``window`` words that also starts elsewhere, in the same document
-or another, marks its words. Two equal windows have the same least ``PREFIX``-gram
-at the same place, so only the suffixes' heads at such places are counted:
-
-1. Heads (a 64-bit key of ``PREFIX`` words) are counted over all documents. A head
-   that stands once begins no repeated window; about one place in fourteen is a head.
-2. Around each head that stands more than once the suffixes of the windows it is
-   the head of are cut out, as words, and dealt out by head.
-3. Prefixes whose suffixes fit ``GROUP`` are packed into memory-sized groups. A group's
-   suffixes are sorted; neighbours' common prefixes are the depths of the tree's
-   internal nodes, and a node ``window`` words deep or deeper makes all suffixes below
-   it repeats. Nothing deeper needs to be told apart.
-4. A prefix with more suffixes is lengthened instead, to the whole window: such
-   nodes are only counted (which combines before the shuffle), never gathered.
+or another, marks its words. A suffix tree over all texts would tell these windows
+by its internal nodes at least ``window`` words deep. It is built in parts that fit
+memory, and only where such nodes can be:
+
+1. Two equal windows have the same least ``PREFIX``-gram at the same place, their
+   head. Heads (a 64-bit key of ``PREFIX`` words) are counted over all documents. A
+   head that stands once begins no repeated window; about one place in fourteen is a
+   head. Around each head that stands more than once the stretch of windows it is
+   the head of, its body, is cut out, as words.
+2. A head with at most ``GROUP`` bodies is a group: all suffixes that begin a window
+   of its bodies make one subtree.
+3. The suffixes of a head with more bodies are dealt out by their own first words
+   instead. A prefix of ``PREFIX`` words that more than ``GROUP`` suffixes share is
+   lengthened, by one word, then two, four and so on, until what shares it fits; alike
+   bodies are one row with a count before that. A prefix that is still too full when it
+   is as long as the window is itself a node that deep: all its suffixes are repeats.
+4. A subtree's suffixes, cut at ``window`` words, are sorted; the common prefixes of
+   neighbours are the depths of its internal nodes. What hangs below a node
+   ``window`` deep is a repeat, and the union of such windows is the maximal one.
+   Words are compared, not hashes.
 
 Copies of a whole text are counted by text and only one of them takes part in
-2 to 4, counting double. Documents are known by 96 bits of hashes of their text,
-so repeated and null ids do no harm.
+1 to 4, counting double. Whole texts and whole bodies are known by 96 and 128 bits of
+hashes, so repeated and null ids do no harm.
 
 Defined cases: a null text has no words; a text of fewer words than the window has
-no repeats; repeated rows are copies of each other; an empty table gives an empty
+no repeats; repeated rows are copies of each other; a very long text is one row of
+its task, its bodies are dealt out like all others; an empty table gives an empty
 result; the input's columns stay unless the finishing step replaces them.
 """
 
@@ -109,31 +117,59 @@ def _bodies(marks: np.ndarray, keys: np.ndarray, least: np.ndarray, window: int)
             yield int(owner[held[i]]), int(held[i]), int(held[j])
 
 
-def deep_suffixes(bodies: list[str], twice: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """(body, place) of each suffix below a node at least ``window`` words deep.
-
-    The bodies' words become numbers; the suffixes, cut at ``window`` words, are
-    sorted, and the common prefix of neighbours gives the nodes' depth.
-    """
+def sorted_suffixes(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of the suffixes (rows of word numbers) and how many words each has in common with the one before it (first: none)."""
+    n, width = rows.shape
+    pairs = np.concatenate([rows, np.zeros((n, width % 2), rows.dtype)], axis=1).astype(np.int64)
+    packed = pairs[:, ::2] << 32 | pairs[:, 1::2]
+    order = np.lexsort(packed.T[::-1])
+    common = np.zeros(n, np.int64)
+    if n > 1:
+        differ = packed[order[1:]] != packed[order[:-1]]
+        at = differ.argmax(axis=1)
+        i = np.arange(n - 1)
+        half = packed[order[1:]][i, at] >> 32 == packed[order[:-1]][i, at] >> 32
+        common[1:] = np.where(differ[i, at], 2 * at + half, width)
+    return order, common
+
+
+def deep_nodes(common: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first, last, depth) of the topmost internal nodes at least ``least`` words deep, over places of the sorted suffixes."""
+    deep = np.append(common >= least, False)
+    edge = np.flatnonzero(deep[1:] != deep[:-1])  # common[0] is 0
+    first, last = edge[::2], edge[1::2]
+    depth = np.minimum.reduceat(common, np.stack([first + 1, np.minimum(last + 1, len(common) - 1)], axis=1).ravel())[::2] if len(first) else first
+    return first, last, depth
+
+
+def repeated(rows: np.ndarray, twice: np.ndarray) -> np.ndarray:
+    """Which suffixes of a subtree hang below a node as deep as they are long, or stand twice by themselves."""
+    order, common = sorted_suffixes(rows)
+    first, last, _ = deep_nodes(common, rows.shape[1])
+    step = np.zeros(len(rows) + 1, np.int64)
+    step[first] += 1
+    step[last + 1] -= 1
+    out = twice.copy()
+    out[order[np.cumsum(step[:-1]) > 0]] = True
+    return out
+
+
+def _numbered(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The words of all texts as numbers, one text behind the other, and each text's number of words."""
     codes: dict[str, int] = {}
-    split = [b.split(" ") for b in bodies]
-    symbols = np.fromiter((codes.setdefault(w, len(codes)) for b in split for w in b), np.int32)
-    sizes = np.array([len(b) for b in split])
+    split = [t.split(" ") for t in texts]
+    return np.fromiter((codes.setdefault(w, len(codes)) for t in split for w in t), np.int32), np.array([len(t) for t in split], np.int64)
+
+
+def deep_suffixes(bodies: list[str], twice: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """(body, place) of each suffix below a node at least ``window`` words deep in the tree of some bodies."""
+    symbols, sizes = _numbered(bodies)
     begin = np.cumsum(sizes) - sizes
     many = sizes - window + 1
     body = np.repeat(np.arange(len(bodies)), many)
     place = np.arange(len(body)) - np.repeat(np.cumsum(many) - many, many)
-    rows = symbols[(begin[body] + place)[:, None] + np.arange(window)]
-    pairs = np.concatenate([rows, np.zeros((len(rows), window % 2), np.int32)], axis=1).astype(np.int64)
-    packed = pairs[:, ::2] << 32 | pairs[:, 1::2]
-    order = np.lexsort(packed.T[::-1])
-    differ = packed[order[1:]] != packed[order[:-1]]
-    deep = ~differ.any(axis=1)  # the common prefix of two neighbours is the whole window
-    repeated = np.zeros(len(rows), dtype=bool)
-    repeated[order[1:][deep]] = True
-    repeated[order[:-1][deep]] = True
-    repeated |= twice[body]
-    return body[repeated], place[repeated]
+    found = repeated(symbols[(begin[body] + place)[:, None] + np.arange(window)], twice[body])
+    return body[found], place[found]
 
 
 def _solve(batch: dict[str, list], window: int) -> pa.RecordBatch:
@@ -147,6 +183,59 @@ def _solve(batch: dict[str, list], window: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(d1[who]), pa.array(d2[who].astype(np.int32)), pa.array(start), pa.array(stop)], names=["d1", "d2", "start", "stop"])
 
 
+def prefix_lengths(window: int) -> list[int]:
+    """``PREFIX`` words, then one, two, four and so on more, the whole window at last."""
+    out, more = [min(PREFIX, window)], 1
+    while out[-1] < window:
+        out.append(min(window, out[-1] + more))
+        more *= 2
+    return out
+
+
+def by_prefix(suffixes: DataFrame, window: int) -> tuple[DataFrame, DataFrame | None]:
+    """``suffixes`` with the ``prefix`` that at most ``GROUP`` of them share; and those of which even the whole window is shared by more."""
+    fit, open_ = [], suffixes
+    for k in prefix_lengths(window):
+        keyed = open_.withColumn("prefix", F.substring_index("suffix", " ", k))
+        full = materialize(keyed.groupBy("prefix").agg(F.count("*").alias("n")).where(F.col("n") > GROUP).select("prefix"), "full")
+        if full.isEmpty():
+            fit.append(keyed)
+            open_ = None
+            break
+        fit.append(keyed.join(full, "prefix", "left_anti").select(keyed.columns))
+        open_ = materialize(keyed.join(full, "prefix", "left_semi").drop("prefix"), "open")
+    out = fit[0]
+    for rows in fit[1:]:
+        out = out.unionByName(rows)
+    return out, open_
+
+
+def subtrees(prefixed: DataFrame, window: int, parts: int) -> DataFrame:
+    """(alike, i) of the suffixes (prefix, alike, i, twice, suffix) that are repeats, a subtree for each prefix."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = pa.table({})
+        for batch in batches:
+            held = pa.concat_tables([held, pa.Table.from_batches([batch])]) if held.num_columns else pa.Table.from_batches([batch])
+            if held.num_rows >= BATCH_STARTS and held.column(0)[0] != held.column(0)[held.num_rows - 1]:
+                end = held.num_rows - 1  # whole prefixes only; the last may go on
+                while held.column(0)[end - 1] == held.column(0)[held.num_rows - 1]:
+                    end -= 1
+                yield solve(held.slice(0, end))
+                held = held.slice(end)
+        if held.num_rows:
+            yield solve(held)
+
+    def solve(rows: pa.Table) -> pa.RecordBatch:
+        # Suffixes of different prefixes part within the first words, so the subtrees of a batch are sorted at once.
+        symbols, _ = _numbered(rows.column(4).to_pylist())
+        found = pa.array(repeated(symbols.reshape(rows.num_rows, window), rows.column(3).to_numpy(zero_copy_only=False).astype(bool)))
+        return rows.select([1, 2]).filter(found).combine_chunks().to_batches()[0] if found.true_count else pa.RecordBatch.from_pylist([], schema=rows.select([1, 2]).schema)
+
+    sent = prefixed.select("prefix", "alike", "i", "twice", "suffix").repartition(parts, "prefix").sortWithinPartitions("prefix")
+    return sent.mapInArrow(run, "alike binary, i int")
+
+
 def mask(n: int, intervals: list) -> np.ndarray:
     """Which of n words lie in an interval (start, stop)."""
     step = np.zeros(n + 1, np.int64)
@@ -263,13 +352,16 @@ def dedup(docs: DataFrame, finish: Finish, outputs: str, window: int = 35, text:
             yield _solve({c: held[c][a:b] for c in names}, window)
 
     found = single.select("key", "d1", "d2", "at", "twice", "body").repartition(parts, "key").sortWithinPartitions("key").mapInArrow(solve, "d1 long, d2 int, start long, stop long")
-    # Long prefixes: alike bodies are one row with a count; each node is the whole window, and members learn their body's runs.
-    windows = F.expr(f"transform(sequence(0, size(w) - {window}), i -> named_struct('node', unhex(md5(array_join(slice(w, i + 1, {window}), ' '))), 'i', i))")
+    # Heads with more bodies: alike bodies are one row with a count, and members learn their body's runs.
     many = spread.where("long").withColumn("alike", F.unhex(F.md5("body")))
     alike = many.groupBy("alike").agg(F.min("body").alias("body"), F.sum(F.when(F.col("twice"), 2).otherwise(1)).alias("n"))
-    below = materialize(alike.select("alike", "n", F.split("body", " ").alias("w")).select("alike", "n", F.explode(windows).alias("x")).select("alike", "n", "x.*"), "nodes")
-    nodes = below.groupBy("node").agg(F.sum("n").alias("n")).where("n > 1").select("node")
-    places = below.join(nodes, "node").groupBy("alike").agg(F.first("n").alias("n"), F.sort_array(F.collect_set("i")).alias("p"))
+    starts = F.expr(f"transform(sequence(0, size(w) - {window}), i -> named_struct('i', i, 'suffix', array_join(slice(w, i + 1, {window}), ' ')))")
+    below = alike.select("alike", "n", F.split("body", " ").alias("w")).select("alike", "n", F.explode(starts).alias("x")).select("alike", "x.i", "x.suffix", (F.col("n") > 1).alias("twice"), "n")
+    below = materialize(below, "suffixes")
+    prefixed, whole = by_prefix(below.drop("n"), window)
+    repeats = subtrees(prefixed, window, parts)
+    repeats = repeats.unionByName(whole.select("alike", "i")) if whole else repeats
+    places = repeats.groupBy("alike").agg(F.sort_array(F.collect_set("i")).alias("p")).join(below.where("i = 0").select("alike", "n"), "alike")
     begins, ends = F.expr(f"filter(p, (x, j) -> j = 0 OR x - p[j - 1] > {window}) AS a"), F.expr(f"filter(p, (x, j) -> j = size(p) - 1 OR p[j + 1] - x > {window}) AS b")
     runs = materialize(places.select("alike", "n", begins, ends).select("alike", "n", F.arrays_zip("a", "b").alias("runs")), "runs")
     # As with heads: fewer than HOT bodies hold over one row in HOT, and a body's runs are few, for it has less than two windows' words.

@@ -114,8 +114,8 @@ def test_substrings(spark, odd):
             kept = " ".join(x for x, g in zip(w, gone, strict=True) if not g)
             yield i, len(w), sum(gone), hashlib.sha256(kept.encode()).hexdigest()
 
-    # 2: nearly all prefixes take the long way; 4: only bodies and heads with a quarter of the rows are broadcast
-    for group, hot in ((substrings.GROUP, substrings.HOT), (2, substrings.HOT), (2, 4)):
+    # 1, 2: nearly all prefixes are lengthened, some as far as the window; 4: only bodies and heads with a quarter of the rows are broadcast
+    for group, hot in ((substrings.GROUP, substrings.HOT), (50, substrings.HOT), (2, 4), (1, substrings.HOT)):
         was = substrings.GROUP, substrings.HOT
         substrings.GROUP, substrings.HOT = group, hot
         try:
@@ -124,6 +124,24 @@ def test_substrings(spark, odd):
             substrings.GROUP, substrings.HOT = was
 
 
+def test_suffix_tree_nodes():
+    """Depths and leaves of the topmost deep nodes, for every depth, against all pairs of suffixes."""
+    rng = np.random.default_rng(2)
+    for width in (1, 2, 5, 8):
+        rows = rng.integers(0, 2 + width % 3, (60, width)).astype(np.int32)
+        order, common = substrings.sorted_suffixes(rows)
+        assert [rows[i].tolist() for i in order] == sorted(rows.tolist())
+        lcp = lambda a, b: next((k for k in range(width) if a[k] != b[k]), width)
+        for least in range(1, width + 1):
+            got = {(frozenset(order[a : b + 1].tolist()), d) for a, b, d in zip(*substrings.deep_nodes(common, least), strict=True)}
+            by = defaultdict(set)
+            for i, r in enumerate(rows.tolist()):
+                by[tuple(r[:least])].add(i)
+            want = {(frozenset(g), min(lcp(rows[a], rows[b]) for a in g for b in g)) for g in by.values() if len(g) > 1}
+            assert got == want
+    assert substrings.prefix_lengths(35) == [8, 9, 11, 15, 23, 35] and substrings.prefix_lengths(9) == [8, 9]
+
+
 def test_simhash(spark, odd):
     def brute(docs):
         prints = []
