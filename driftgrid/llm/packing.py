@@ -6,6 +6,12 @@ sequence that takes it under every constraint and fits best: by the least
 weighted norm of what stays free (``rule='norm'``), or by the largest weighted
 dot product of demand and free capacity (``rule='dot'``).
 
+Tokens are limited by the caller. The attention cost of a sequence is at most that of
+one piece as long as a sequence, which no smaller limit could hold. The documents
+are limited by :func:`fewest_documents` to the least number a sequence found that costs at most
+one sequence in a thousand, none below a thousand: so the limit binds, and the packing
+stays as tight as tokens alone allow.
+
 Only lengths matter for that, and there are at most as many as the token
 capacity, so the packing is computed on the histogram of lengths: sequences in
 the same state are handled together as ranges of sequence numbers, and the plan
@@ -16,15 +22,17 @@ from counts per (length, bucket), so that a length shared by a third of all
 pieces is no single task.
 
 Defined cases: a null text counts as empty (one closing token); ties in length
-are ranked by id, piece and checksum; repeated rows are packed as often as they
-stand there; null ids are packed; an empty table gives an empty result.
+are ranked by id, piece, checksum and place in the table, which also spreads rows
+that are alike in all columns; repeated rows are packed as often as they stand
+there; null ids are packed; a long text is cut into pieces within its task; an
+empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -42,63 +50,75 @@ class Capacity:
     tokens: int = 4096
     documents: int = 4096
     attention: int = 4096 * 4096
-    weights: tuple[float, float, float] = (1.0, 1e-6, 1e-6)
+    weights: tuple[float, float, float] = (1.0, 1.0, 1.0)
     rule: str = "norm"
 
 
 @dataclass
 class Plan:
-    """Moves, sorted by (length, first rank); sequences in use."""
+    """Moves, sorted by (length, first rank); sequences in use; documents in the sequence with most."""
 
     length: np.ndarray
     first: np.ndarray
     sequence: np.ndarray
     offset: np.ndarray
     sequences: int
+    documents: int
 
 
 def plan(counts: dict[int, int], cap: Capacity = Capacity()) -> Plan:
     """Pack ``counts[length]`` pieces of each length."""
     full = np.array([cap.tokens, cap.documents, cap.attention], dtype=np.float64)
     weight = np.array(cap.weights)
-    free = np.zeros((0, 3))  # of each kind of open sequence
-    alive = np.zeros(0, dtype=bool)
+    # Kinds of open sequences, those of the same free capacities together, in the rows before ``used``; a kind without sequences gives its row away.
+    free, used = np.zeros((64, 3)), 0
     kinds: dict[tuple, int] = {}
     ranges: list[list[list[int]]] = []  # of each kind: [first sequence, how many]
-    moves, opened = [], 0
+    moves, opened, most = [], 0, 0
 
     def kind(state: np.ndarray) -> int:
-        nonlocal free, alive
+        nonlocal free, used
         key = tuple(state.tolist())
         if (k := kinds.get(key)) is None:
-            k = kinds[key] = len(ranges)
+            if used == len(free):
+                free = np.vstack([free, np.zeros_like(free)])
+            k, used = used, used + 1
+            kinds[key], free[k] = k, state
             ranges.append([])
-            if k >= len(free):
-                free = np.vstack([free, np.zeros((max(64, len(free)), 3))])
-                alive = np.append(alive, np.zeros(len(free) - len(alive), dtype=bool))
-            free[k] = state
-        alive[k] = True
         return k
 
+    def close(k: int) -> None:
+        nonlocal used
+        used -= 1
+        del kinds[tuple(free[k].tolist())]
+        last = ranges.pop()
+        if k != used:
+            free[k], ranges[k] = free[used], last
+            kinds[tuple(free[k].tolist())] = k
+
     for length in sorted(counts, reverse=True):
         left, rank = counts[length], 0
         need = np.array([length, 1, length * length], dtype=np.float64)
         if length < 1 or (need > full).any():
             raise ValueError(f"a piece of {length} tokens fits into no sequence")
         while left:
-            fits = np.flatnonzero(alive & (free >= need).all(axis=1))
+            fits = np.flatnonzero((free[:used] >= need).all(axis=1))
             if len(fits):
                 if cap.rule == "dot":
-                    best = fits[np.argmax((free[fits] / full * (need / full)) @ weight)]
+                    score = -((free[fits] / full * (need / full)) @ weight)
                 else:
-                    best = fits[np.argmin(((free[fits] - need) / full) ** 2 @ weight)]
+                    score = ((free[fits] - need) / full) ** 2 @ weight
+                ties = fits[score == score.min()]
+                best = int(ties[np.lexsort(free[ties].T)[0]])  # rows move about, so ties go by what is free
             else:  # open as many as this length alone needs; what they keep free is offered again
                 each = int(min(full // need))
                 n = -(-left // each)
                 best = kind(full)
                 ranges[best].append([opened, n])
                 opened += n
-            moved, offset = [], cap.tokens - int(free[best][0])
+            state, moved = free[best].copy(), []
+            most = max(most, cap.documents + 1 - int(state[1]))
+            offset = cap.tokens - int(state[0])
             while left and ranges[best]:
                 at, n = ranges[best].pop()
                 take = min(n, left)
@@ -108,10 +128,28 @@ def plan(counts: dict[int, int], cap: Capacity = Capacity()) -> Plan:
                 moved.append([at, take])
                 rank, left = rank + take, left - take
             if not ranges[best]:
-                alive[best] = False
-            ranges[kind(free[best] - need)].extend(moved)
+                close(best)
+            if state[0] > length:
+                ranges[kind(state - need)].extend(moved)
     table = np.array(sorted(moves), dtype=np.int64).reshape(-1, 4)
-    return Plan(*(table[:, i].copy() for i in range(4)), sequences=opened)
+    return Plan(*(table[:, i].copy() for i in range(4)), sequences=opened, documents=most)
+
+
+def fewest_documents(counts: dict[int, int], cap: Capacity = Capacity(), slack: float = 0.001, tries: int = 6) -> Plan:
+    """The plan with the least bound on documents found, by halving, that needs at most one sequence in a thousand (``slack``) more than ``cap``."""
+    best = plan(counts, cap)
+    most = best.sequences + int(slack * best.sequences)
+    low = -(-sum(counts.values()) // max(1, best.sequences))  # no plan has fewer in its fullest sequence
+    for _ in range(tries):
+        middle = (low + best.documents) // 2
+        if middle >= best.documents:
+            break
+        other = plan(counts, replace(cap, documents=middle))
+        if other.sequences <= most:
+            best = other
+        else:
+            low = middle + 1
+    return best
 
 
 def cut(docs: DataFrame, path: str, size: int, text: str = "text", end: int = 1) -> DataFrame:
@@ -134,14 +172,14 @@ def cut(docs: DataFrame, path: str, size: int, text: str = "text", end: int = 1)
 
 
 def rank_in_length(pieces: DataFrame, buckets: int = 1024) -> DataFrame:
-    """Add ``rank``, gapless from 0 among the pieces of one length."""
-    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    """Add ``rank``, gapless from 0 among the pieces of one length; ``row`` tells alike rows apart."""
+    keyed = pieces.withColumn("bucket", F.pmod(F.xxhash64("row"), F.lit(buckets)).cast("int"))
     each = keyed.groupBy("length", "bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = each.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("base"))
-    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    order = Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "row")
     ranked = keyed.withColumn("inner", F.row_number().over(order).cast("long") - 1)
-    return ranked.join(starts, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("inner")).drop("base", "inner", "bucket")
+    return ranked.join(starts, ["length", "bucket"]).withColumn("rank", F.col("base") + F.col("inner")).drop("base", "inner", "bucket", "row")
 
 
 def place(ranked: DataFrame, moves: Plan) -> DataFrame:
@@ -164,12 +202,13 @@ def place(ranked: DataFrame, moves: Plan) -> DataFrame:
 
 
 def pack(pieces: DataFrame, cap: Capacity = Capacity()) -> DataFrame:
-    """Place materialized ``pieces`` (doc_id, piece, start, length, ids_crc32) in sequences."""
-    counts = {r.length: r.n for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most cap.tokens rows
-    return place(rank_in_length(pieces), plan(counts, cap))
+    """Place ``pieces`` (doc_id, piece, start, length, ids_crc32) in sequences."""
+    stored = materialize(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces")
+    counts = {r.length: r.n for r in stored.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most cap.tokens rows
+    return place(rank_in_length(stored), fewest_documents(counts, cap))
 
 
 def op6_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     cap = Capacity()
-    return pack(materialize(cut(docs, tokens.default_path(), cap.tokens), "pieces"), cap)
+    return pack(cut(docs, tokens.default_path(), cap.tokens), cap)
