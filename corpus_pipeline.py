@@ -42,7 +42,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents' token pieces and their places in sequences."""
     cap = packing.Capacity()
-    return packing.pack(materialize(packing.cut(docs, tokens.default_path(), cap.tokens), "pieces"), cap)
+    return packing.pack(packing.cut(docs, tokens.default_path(), cap.tokens), cap)
 
 
 STAGES = [
