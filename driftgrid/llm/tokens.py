@@ -7,9 +7,15 @@ and finished sequences leave; when none is left the surviving symbols are the
 tokens. Each distinct pre-token is merged once per worker: results are kept in a
 table that is emptied when it reaches ``KEEP`` entries, so memory stays bounded.
 
+Letters and digits are what the tokenizer's library takes for them. Its Unicode tables
+may be newer than Python's, so each character is tried out once a worker; a text with
+one that the two take differently is normalised and split by the library itself.
+
 Defined cases: a null text counts as empty; special strings inside a text are
 special tokens, as the library has it by default; repeated rows and null or
-repeated ids are counted row by row; empty tables give empty results.
+repeated ids are counted row by row; a long text is cut into pre-tokens whole and
+merged together with its neighbours, its distinct pre-tokens once; empty tables give
+empty results; columns with the results' names are replaced, others stay.
 """
 
 from __future__ import annotations
@@ -24,6 +30,7 @@ import regex
 import unicodedata
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
 KEEP = 800_000
@@ -47,6 +54,10 @@ def _byte_letters() -> list[str]:
     return out
 
 
+#: Marks below U+1000, one of each class, in descending classes: where they push another mark to tells its class.
+_LADDER = "".join(dict(sorted({unicodedata.combining(c): c for c in map(chr, range(0xFFF, 0x2FF, -1)) if unicodedata.combining(c)}.items(), reverse=True)).values())
+
+
 class WordBpe:
     """A word-end BPE vocabulary read from its JSON file."""
 
@@ -54,6 +65,8 @@ class WordBpe:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"]
+        self.library = Tokenizer.from_file(path)
+        self.agreed, self.apart = set(map(chr, range(128))), set()
         self.specials = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.special = regex.compile("|".join(map(regex.escape, sorted(self.specials, key=len, reverse=True)))) if self.specials else None
         self.pattern = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
@@ -97,7 +110,7 @@ class WordBpe:
 
     def words(self, text: str) -> list[str | int]:
         """The pre-tokens of a text; a special string is its id."""
-        if self.special is None or "<|" not in text:
+        if self.special is None or not any(x in text for x in self.specials):
             return self._plain(text)
         out, at = [], 0
         for m in self.special.finditer(text):
@@ -106,9 +119,20 @@ class WordBpe:
         return out + self._plain(text[at:])
 
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
-        return self.pattern.findall(text.lower())
+        if text.isascii():
+            return self.pattern.findall(text.lower())
+        letters = set(text)
+        for c in letters - self.agreed - self.apart:
+            probe = f"{c} a{c}b 1{c}2 !{c}? !{c}{_LADDER}?"
+            (self.agreed if self._own(probe) == self._by_library(probe) else self.apart).add(c)
+        return self._own(text) if self.apart.isdisjoint(letters) else self._by_library(text)
+
+    def _own(self, text: str) -> list[str]:
+        return self.pattern.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+
+    def _by_library(self, text: str) -> list[str]:
+        clear = self.library.normalizer.normalize_str(text)
+        return [clear[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(clear)]
 
     def merge(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The token ids of all words, one word behind the other, and where each word's end."""

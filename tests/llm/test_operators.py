@@ -84,6 +84,16 @@ def test_token_counts(spark, odd):
     _both(spark, odd, tokens.op9_token_counts, ["doc_id", "n_bytes", "n_tokens", "over_limit"], brute)
 
 
+def test_every_code_point():
+    """Each code point by itself, between letters, digits and signs, against the library."""
+    lib, model = Tokenizer.from_file(tokens.default_path()), tokens.load(tokens.default_path())
+    points = [chr(c) for c in [*range(0xD800), *range(0xE000, 0x20000), *range(0x20000, 0x110000, 61)]]
+    texts = [" ".join(f"{c} x{c}Y 1{c}2 .{c}" for c in points[i : i + 500]) for i in range(0, len(points), 500)]
+    texts += ["".join(points[i : i + 500]) for i in range(0, len(points), 500)]
+    bad = [t for t, got, want in zip(texts, model.encode(texts), lib.encode_batch(texts, add_special_tokens=False), strict=True) if np.frombuffer(got, "<u4").tolist() != want.ids]
+    assert not bad and 500 < len(model.apart) < 20000
+
+
 def test_sharding(spark, odd, tmp_path):
     for d in (SF, odd[0]):
         rows = sharding.op2_shard(spark, d).collect()
