@@ -8,19 +8,20 @@ disguises become signs. Identifiers found there are mapped back to source
 letters and added if a disguise took part in them and no plain span of the same
 kind holds them whole; one that is wider than a plain span stands beside it.
 
-All searches run in time linear in the text. Offsets count code points, ends are
-exclusive.
+All searches run in time linear in the text, but for a logarithm where a span looks for
+the plain one around it. Offsets count code points, ends are exclusive.
 
 Defined cases: a null text counts as empty and has no spans; repeated rows and
-null or repeated ids are searched row by row; an empty table gives an empty
-result; columns of the input that clash with a result column are replaced.
+null or repeated ids are searched row by row; a long text is searched whole, in one
+go; an empty table gives an empty result; columns of the input that clash with a
+result column are replaced.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -169,29 +170,28 @@ def find(text: str) -> list[Span]:
     got = normalise(text)
     if got and got[3]:
         clear, start, end, made = got
+        begins, ends = ([[b[i] for b in base if b[1] == kind] for kind in range(len(KINDS))] for i in (0, 2))
         for a, kind, b in plain(clear):
             k = bisect_left(made, a)
             if k == len(made) or made[k] >= b:
                 continue
             s, e = start[a], end[b - 1]
-            if not any(k == kind and x <= s and e <= y for x, k, y in base):
+            held = bisect_right(begins[kind], s) - 1  # spans of a kind do not overlap: no other one can hold it whole
+            if held < 0 or ends[kind][held] < e:
                 out.append(Span(s, kind, e, True))
     return sorted(out)
 
 
 def redact(text: str) -> str:
     """The text with each span, overlapping ones as one, replaced by its kind in brackets."""
-    out, at = [], 0
-    spans = find(text)
-    for k, s in enumerate(spans):
-        if s.start >= at:
-            stop = s.end
-            for other in spans[k + 1 :]:
-                if other.start >= stop:
-                    break
-                stop = max(stop, other.end)
-            out += [text[at : s.start], f"[{KINDS[s.kind].upper()}]"]
-            at = stop
+    out, at, k, spans = [], 0, 0, find(text)
+    while k < len(spans):
+        first, stop = spans[k], spans[k].end
+        while k < len(spans) and spans[k].start < stop:  # no span is empty, so this takes the first one too
+            stop = max(stop, spans[k].end)
+            k += 1
+        out += [text[at : first.start], f"[{KINDS[first.kind].upper()}]"]
+        at = stop
     return "".join([*out, text[at:]])
 
 

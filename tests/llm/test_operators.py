@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -321,6 +322,20 @@ def test_pii_wider_than_plain():
     assert [s.added for s in pii.find("a@b.co one two three")] == [False]
 
 
+def test_pii_takes_linear_time():
+    """Four times the text in about four times the time, for mixtures of everything that is looked for; what is found repeats."""
+    for unit in ("jane@x.com joe [at] example [dot] com 1.2.3.4 one two three four five ｊoe＠example．com +1 (555) 123-4567 ", "@", "+1(", "a.b.", "1 ", "one two ", "[at] dot ", "x at y ", "а", "1.1.", "a@b"):
+        took = []
+        for size in (100_000, 400_000):
+            text = unit * (size // len(unit))
+            began = time.process_time()
+            spans = pii.find(text)
+            pii.redact(text)
+            took.append(time.process_time() - began)
+            assert unit[0] != "j" or len(spans) >= 5 * (size // len(unit))
+        assert took[1] < 8 * took[0] + 0.3, unit
+
+
 def test_packing(spark, odd):
     lib = Tokenizer.from_file(tokens.default_path())
     for d in (SF, odd[0]):
