@@ -5,9 +5,9 @@ Every metric is a Column over the whole text, every rule a row of a table of
 columns and a verdict in one select. No shuffle, no user function.
 
 Defined cases: a null text counts as no words (all metrics zero); an empty text
-likewise; repeated rows and repeated or null ids are judged row by row; an empty
-table gives an empty result; columns of the input that clash with a metric's
-name are replaced by the metric.
+likewise; repeated rows and repeated or null ids are judged row by row; a long text is
+measured whole, as arrays of its words within one row; an empty table gives an empty
+result; columns of the input that clash with a metric's name are replaced by the metric.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Common short words of the corpus languages, one list for each language.
+#: Common short words of the corpus languages, one list for each language; a text's are those of the language it has most of.
 STOP_WORDS = {
     "en": ("the", "of", "and", "to", "in", "a", "is", "that", "for", "on", "with", "as", "was", "it", "by", "be", "this", "are", "or", "at"),
     "fr": ("de", "la", "le", "et", "les", "des", "en", "un", "une", "du", "que", "est", "dans", "qui", "par", "pour", "au", "sur"),
@@ -54,23 +54,29 @@ def _words(text: Column) -> Column:
     return F.filter(F.split(text, SPACE + "+", -1), lambda w: w != F.lit(""))
 
 
-def _repeated(windows: str) -> Column:
-    """Words under 3-word windows that occur twice or more, from an array of window hashes.
+def _repeated(words: str, windows: str) -> Column:
+    """Words under 3-word windows that occur twice or more, from the words and the windows' hashes.
 
-    Sorting (hash, place) pairs puts equal windows side by side in n log n steps;
-    the places found then count up to three words each, less where they overlap.
+    Sorting (hash, window, place) puts equal windows side by side in n log n steps; the
+    hash decides nearly every comparison, and the windows themselves decide where hashes
+    are equal. The places found then count up to three words each, less where they overlap.
     """
+    rows = f"transform({windows}, (h, i) -> named_struct('h', h, 'g', concat_ws(' ', get({words}, i), get({words}, i + 1), get({words}, i + 2)), 'i', i))"
+    same = lambda j: f"x.h = get(s, {j}).h AND x.g = get(s, {j}).g"
     return F.expr(
-        f"""element_at(transform(array(array_sort(transform({windows}, (h, i) -> named_struct('h', h, 'i', i)))), s ->
+        f"""element_at(transform(array(array_sort({rows})), s ->
               element_at(transform(array(sort_array(filter(transform(s, (x, j) ->
-                  IF(x.h = get(s, j - 1).h OR x.h = get(s, j + 1).h, x.i, NULL)), v -> v IS NOT NULL))), p ->
+                  IF({same("j - 1")} OR {same("j + 1")}, x.i, NULL)), v -> v IS NOT NULL))), p ->
                 aggregate(transform(p, (v, j) -> CAST(least(3, coalesce(get(p, j + 1) - v, 3)) AS BIGINT)), 0L, (a, b) -> a + b)), 1)), 1)"""
     )
 
 
+def _among(words: tuple[str, ...]):
+    return lambda w: F.lower(w).isin(*words)
+
+
 def measure(df: DataFrame, text: str = "text") -> DataFrame:
     """Add the count and ratio columns that rules may name."""
-    stop = sorted({w for words in STOP_WORDS.values() for w in words})
     body = F.coalesce(F.col(text), F.lit(""))
     own = [c for c in df.columns if c not in METRICS]
     out = df.select(*own, body.alias("__body")).withColumn("__words", _words(F.col("__body")))
@@ -79,7 +85,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
             "__n": F.size("__words"),
             "__chars": F.length(F.array_join("__words", "")),
             "__lines": F.filter(F.split("__body", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
-            "__stop": F.size(F.filter("__words", lambda w: F.lower(w).isin(*stop))),
+            "__stop": F.greatest(*[F.size(F.filter("__words", _among(words))) for words in STOP_WORDS.values()]),
             "__windows": F.expr("slice(transform(__words, (w, i) -> xxhash64(w, get(__words, i + 1), get(__words, i + 2))), 1, greatest(size(__words) - 2, 0))"),
         }
     )
@@ -91,7 +97,7 @@ def measure(df: DataFrame, text: str = "text") -> DataFrame:
             "n_symbols": F.length(F.regexp_replace("__body", r"[^#*$%&|<>]+", "")).cast("long"),
             "n_lines": F.size("__lines").cast("long"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
-            "n_repeat_words": F.when(F.size(F.array_distinct("__windows")) == F.size("__windows"), F.lit(0).cast("long")).otherwise(_repeated("__windows")),
+            "n_repeat_words": F.when(F.size(F.array_distinct("__windows")) == F.size("__windows"), F.lit(0).cast("long")).otherwise(_repeated("__words", "__windows")),
             "n_stop_words": F.col("__stop").cast("long"),
         }
     ).drop("__body", "__words", "__n", "__chars", "__lines", "__stop", "__windows")
@@ -136,7 +142,7 @@ def op10_quality_rules(spark, sf_dir: str) -> DataFrame:
 
 def oracle(base=BASE_RULES, rules=METHOD_RULES) -> str:
     """DuckDB SQL of :func:`op10_quality_rules`."""
-    stop = ", ".join(f"'{w}'" for w in sorted({w for words in STOP_WORDS.values() for w in words}))
+    stop = ", ".join("len(list_filter(ws, lambda x: lower(x) IN (" + ", ".join(f"'{w}'" for w in words) + ")))" for words in STOP_WORDS.values())
     cond = " AND ".join(f"{r.metric} {op} {v}" for r in rules for op, v in ((">=", r.least), ("<=", r.most)) if v is not None)
     return f"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
@@ -149,7 +155,7 @@ m AS (SELECT w.doc_id, CAST(len(ws) AS BIGINT) AS n_words, CAST(length(array_to_
              CAST(length(regexp_replace(text, '[^#*$%&|<>]+', '', 'g')) AS BIGINT) AS n_symbols,
              CAST(len(ls) - len(list_distinct(ls)) AS BIGINT) AS n_dup_lines, CAST(len(ls) AS BIGINT) AS n_lines,
              CAST(coalesce(r.n, 0) AS BIGINT) AS n_repeat_words,
-             len(list_filter(ws, lambda x: lower(x) IN ({stop}))) AS n_stop_words
+             greatest({stop}) AS n_stop_words
       FROM w LEFT JOIN r USING (k)),
 q AS (SELECT *, CASE WHEN n_words > 0 THEN word_chars / n_words ELSE 0.0 END AS mean_word_length,
              CASE WHEN word_chars > 0 THEN n_symbols / word_chars ELSE 0.0 END AS symbol_ratio,
