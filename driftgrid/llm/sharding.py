@@ -6,12 +6,14 @@ map (one row per slot and version) says which shard holds which slot. A new
 corpus gets version 0 by placing slots, largest first, on the least loaded shard;
 rebalancing, or adding a shard, writes a next version that moves only the slots
 it must. The map never has more rows than slots, whatever the corpus, so it is
-safe to broadcast and to fold over in one task.
+safe to broadcast and to fold over in one task. Records are placed by the stored
+map alone: what it says in its newest version holds.
 
 Defined cases: a null text has no bytes (size 16, crc of the empty string); null
-or repeated ids and repeated rows are placed like any others, the text takes part
-in the slot hash so that one id cannot fill a slot alone; an empty table gives an
-empty result; extra columns are ignored.
+or repeated ids and repeated rows are placed like any others, the text and the
+row's place in the table take part in the slot hash so that neither one id nor rows
+alike in all columns fill a slot; a long text is one record of its size; an empty
+table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -108,12 +110,22 @@ def place(records: DataFrame, slot_map: DataFrame, order: list) -> DataFrame:
     return records.withColumn("__rank", rank).join(F.broadcast(starts), "virtual_slot").withColumn("slot", F.col("__start") + F.col("__rank") - 1).drop("__start", "__rank")
 
 
+def balanced(spark: SparkSession, records: DataFrame, path: str, shards: int, slots: int = SLOTS) -> DataFrame:
+    """The newest version of the map stored at ``path``, after a version 0 and, where that leaves a shard too full, an edited one."""
+    loads = slot_loads(spark, records, slots)
+    save_map(first_map(loads, shards), path)
+    edited = next_map(load_map(spark, path), loads, shards)
+    if not edited.join(load_map(spark, path), ["virtual_slot", "shard"], "left_anti").isEmpty():
+        save_map(edited, path)
+    return load_map(spark, path)
+
+
 def op2_shard(spark: SparkSession, sf_dir: str, shards: int = 40, slots: int = SLOTS) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     body = F.coalesce("text", F.lit(""))
-    records = docs.select("doc_id", (F.octet_length(body).cast("long") + OVERHEAD).alias("size"), F.crc32(body).alias("text_crc32"))
-    records = materialize(with_slots(records, ["doc_id", "text_crc32", "size"], slots), "sizes")
-    slot_map = first_map(slot_loads(spark, records, slots), shards)
-    return place(records, slot_map, ["doc_id", "text_crc32", "size"]).select(
+    records = docs.select("doc_id", (F.octet_length(body).cast("long") + OVERHEAD).alias("size"), F.crc32(body).alias("text_crc32"), F.monotonically_increasing_id().alias("row"))
+    records = materialize(with_slots(records, ["doc_id", "text_crc32", "size", "row"], slots), "sizes")
+    slot_map = balanced(spark, records, f"{records.scratch_path}-map", shards, slots)
+    return place(records, slot_map, ["doc_id", "text_crc32", "size", "row"]).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "virtual_slot"
     )

@@ -103,6 +103,8 @@ def test_sharding(spark, odd, tmp_path):
         for r in rows:
             by[r.shard].append(r)
         assert all(sorted(r.slot for r in g) == list(range(len(g))) for g in by.values()) and all(0 <= s < 40 for s in by)
+        sizes = [sum(r["size"] for r in by[k]) for k in range(40)]
+        assert max(sizes) - min(sizes) <= max(r["size"] for r in rows)  # near equal: no further apart than one record
     records = sharding.with_slots(spark.range(4000).withColumn("size", F.lit(20).cast("long")), ["id"], 256)
     first = sharding.first_map(sharding.slot_loads(spark, records, 256), 4)
     grown = sharding.next_map(first, sharding.slot_loads(spark, records, 256), 5)
@@ -111,6 +113,17 @@ def test_sharding(spark, odd, tmp_path):
     old, new = ({r.virtual_slot: r.shard for r in sharding.load_map(spark, str(tmp_path / "m"), v).collect()} for v in (0, None))
     moved = {s for s in old if old[s] != new[s]}
     assert moved and {new[s] for s in moved} == {4} and len(moved) < 80
+    # What the query places by is the stored map, whatever its newest version says.
+    path = str(tmp_path / "stored")
+    sharding.balanced(spark, records, path, 4, 256)
+    sharding.save_map(sharding.load_map(spark, path).withColumns({"shard": 3 - F.col("shard"), "version": F.col("version") + 1}), path)
+    turned = {r.virtual_slot: r.shard for r in sharding.place(records, sharding.load_map(spark, path), ["id"]).select("virtual_slot", "shard").collect()}
+    assert turned == {r.virtual_slot: 3 - r.shard for r in sharding.load_map(spark, path, 0).collect() if r.virtual_slot in turned} and len(set(turned.values())) == 4
+    # Rows alike in all columns do not fill one slot.
+    alike = spark.createDataFrame([(None, "same")] * 3000, "doc_id long, text string")
+    alike.write.parquet(str(tmp_path / "alike/documents.parquet"))
+    counts = Counter(r.shard for r in sharding.op2_shard(spark, str(tmp_path / "alike"), slots=1024).collect())
+    assert len(counts) == 40 and max(counts.values()) - min(counts.values()) <= 4
 
 
 def test_substrings(spark, odd):
