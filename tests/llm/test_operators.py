@@ -435,6 +435,29 @@ def test_urls(spark):
     got = urls.judge(df, urls.listed(spark)).select("url", "host", "path", "rule", "verdict").collect()
     assert Counter(tuple(r) for r in got) == Counter((u, *v) for u, v in cases.items() for _ in range(2))
     assert urls.judge(df, urls.listed(spark, (), ())).where("verdict = 'allow'").count() == 16
+    forms = ["http://u:p@WWW.spam-farm.example.org:8080/x", "http://m.adult-x.example.net./", "h://free-bets.example.com", "h://free-bets.example.com/en/9", "h://not-free-bets.example.com/", "h://casino-win.example.com.evil.test/"]
+    odd = spark.createDataFrame([(u, 1, "k", "w") for u in forms], "url string, __host int, keys string, __words string")
+    got = urls.judge(odd, urls.listed(spark))
+    assert got.columns == [*odd.columns, "host", "path", "rule", "verdict"]
+    assert {r.url: (r.rule, r.verdict) for r in got.collect()} == {u: ("com/en/" if "/en/" in u else None, "block" if i < 4 else "allow") for i, u in enumerate(forms)}
+
+
+def test_url_filter_false_positives(spark, tmp_path, monkeypatch):
+    """A stored list of 20,000 urls: nothing listed is missed, few others pass the filter, none passes the join; a filter that is too small only lets more pass."""
+    spark.range(20_000).select(F.format_string("HTTP://Site%d.example.test:80//shop/./%d?q=1#x", F.col("id") % 4000, F.col("id")).alias("url"), F.lit("block").alias("verdict")).write.parquet(f"{tmp_path}/list")
+    entries = urls.read_listed(spark, f"{tmp_path}/list").withColumn("key", F.concat(F.when(F.col("is_rule"), F.lit("r|")).otherwise(F.lit("s|")), "host", F.lit("|"), "path"))
+    pages = spark.range(40_000).select("id", F.format_string("http://www.site%d.example.test/shop/%d", F.col("id") % 4000, F.col("id")).alias("url"))
+    for most in (urls.MAX_BLOCKS, 64):
+        monkeypatch.setattr(urls, "MAX_BLOCKS", most)
+        passed = urls.possible(pages, entries).where("size(keys) > 0")
+        # a listed path is a prefix: .../shop/3 is listed, so .../shop/34 on the same site would be as well
+        truth = pages.where("id < 20000").count()
+        wrong = passed.where("id >= 20000").count()
+        assert passed.where("id < 20000").count() == truth and (wrong < 2000 if most > 64 else wrong > 10_000)
+        blocked = urls.judge(pages, entries).where("verdict = 'block'")
+        listed = {(f"site{i % 4000}", f"/shop/{i}") for i in range(20_000)}
+        prefix = lambda i: any((f"site{i % 4000}", f"/shop/{str(i)[:n]}") in listed for n in range(1, 6))
+        assert {r.id for r in blocked.select("id").collect()} == {i for i in range(40_000) if prefix(i)}
 
 
 def test_quality(spark, odd):
