@@ -1,24 +1,28 @@
 """Exact top-k inner products: norm-sorted blocks, rotated partial sums, residual bounds.
 
-Vectors are cut into blocks in descending length, queries into blocks as well. The
+Vectors are stored in blocks of descending length, queries in blocks as well. The
 block of the longest vectors is searched first and gives every query a k-th best
-score to beat. A pair of blocks is then looked at only if the longest query times
-the longest vector can reach that score, and inside it a pair of vectors only
-while the partial inner product over the leading rotated coordinates plus the
-product of the remaining lengths (Cauchy-Schwarz) can. The rotation comes from
-the SVD of a bounded sample of ``SAMPLE`` vectors; any rotation is right, a
-fitted one only prunes earlier. What remains is scored with integers.
+score to beat. Then the queries go over the vectors in groups of bounded size: a group
+is sent to the tasks, which read the stored blocks, and of these only the ones whose
+longest vector can reach what the group has to beat (a pushed-down filter on the
+block's length). Inside a block a pair of vectors is looked at only while the partial
+inner product over the leading rotated coordinates plus the product of the remaining
+lengths (Cauchy-Schwarz) can reach the bar. The rotation comes from the SVD of a bounded
+sample of ``SAMPLE`` vectors; any rotation is right, a fitted one only prunes earlier.
+What remains is scored with integers. Vectors are never shuffled against queries, and a
+plan's size does not follow their number.
 
 Defined cases: vectors that are null or hold null or non-finite components take
 no part, as queries neither; vectors of another length than the longest are
 filled with zeros; an empty vector is all zeros; ties go to the smaller id;
-repeated rows of one id are each a candidate, but not for a query of that id;
-null ids take no part; an empty table gives an empty result.
+components and scores beyond 64 bits are the greatest or least number of 64 bits, and
+scores that meet there are ties; repeated rows of one id are each a candidate, but not
+for a query of that id; null ids take no part; very long vectors make smaller blocks;
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +34,10 @@ from driftgrid.scratch import materialize
 
 BLOCK = 4096
 QUERY_BLOCK = 8192
+#: Bytes of the queries that go over the vectors at once, and of one block's vectors.
+GROUP_BYTES, BLOCK_BYTES = 1 << 25, 1 << 24
 SAMPLE = 4096
+LEAST, MOST = -(1 << 63), (1 << 63) - 1
 HEADS = (8, 24)
 RESULT = "query_id long, vec_id long, score long"
 PACKED = "block int, longest double, ids binary, vectors binary, n int"
@@ -58,8 +65,8 @@ def _padded(v: np.ndarray, dim: int) -> np.ndarray:
 
 def blocks(quantized: DataFrame, dim: int, size: int, n: int) -> DataFrame:
     """One row per block of up to ``size`` vectors, blocks and rows in descending length, numbered from the longest."""
-    parts = max(1, -(-n // size))
-    ranged = quantized.repartitionByRange(parts, F.col("sq").desc(), F.col("vec_id")).sortWithinPartitions(F.col("sq").desc(), F.col("vec_id")) if parts > 1 else quantized.coalesce(1)
+    parts, order = max(1, -(-n // size)), (F.col("sq").desc(), F.col("vec_id"), F.col("row"))
+    ranged = quantized.repartitionByRange(parts, *order).sortWithinPartitions(*order) if parts > 1 else quantized.coalesce(1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, rows = [], []
@@ -91,8 +98,8 @@ def search_block(qids, q, ids, x, beat, k: int, turn: np.ndarray) -> list[np.nda
     Vectors come in runs of descending length; the k-th best score found so far
     rises as the runs pass and closes a query once no later vector can reach it.
     """
-    exact = np.abs(q).max(initial=0).astype(float) * np.abs(x).max(initial=0).astype(float) * max(1, q.shape[1]) < 2**52
     qf, xf = q.astype(np.float64), x.astype(np.float64)
+    q_most, x_most = (np.abs(a).max(axis=1, initial=0.0) for a in (qf, xf))  # a product of small numbers is exact as it stands
     qr, xr = qf @ turn, xf @ turn
     left = lambda a, h: np.sqrt(np.maximum((a[:, h:] ** 2).sum(axis=1), 0.0))
     qn, xn = np.sqrt((qf**2).sum(axis=1)), np.sqrt((xf**2).sum(axis=1))
@@ -115,10 +122,12 @@ def search_block(qids, q, ids, x, beat, k: int, turn: np.ndarray) -> list[np.nda
             rows, cols = np.nonzero(alive)
             if not len(rows):
                 continue
-            if exact:
-                score = np.einsum("ij,ij->i", qf[some[rows]], xf[at + cols]).astype(np.int64) if len(rows) * 8 < alive.size else (qf[some] @ xf[part].T)[rows, cols].astype(np.int64)
-            else:
-                score = np.array([int(sum(int(a) * int(b) for a, b in zip(q[some[r]], x[at + c], strict=True))) for r, c in zip(rows, cols, strict=True)], dtype=np.int64)
+            exact = q_most[some[rows]] * x_most[at + cols] * max(1, q.shape[1]) < 2.0**52
+            score = np.zeros(len(rows), np.int64)
+            r, c = rows[exact], cols[exact]
+            score[exact] = np.einsum("ij,ij->i", qf[some[r]], xf[at + c]) if len(r) * 8 < alive.size else (qf[some] @ xf[part].T)[r, c]
+            for i in np.flatnonzero(~exact).tolist():
+                score[i] = max(LEAST, min(MOST, sum(a * b for a, b in zip(q[some[rows[i]]].tolist(), x[at + cols[i]].tolist(), strict=True))))
             good = score >= beat[some[rows]]
             rows, cols, score = some[rows[good]], ids[at + cols[good]], score[good]
             if not len(rows):
@@ -126,7 +135,7 @@ def search_block(qids, q, ids, x, beat, k: int, turn: np.ndarray) -> list[np.nda
             mine = np.unique(rows)
             rows = np.concatenate([rows, np.repeat(mine, k)])
             cols, score = np.concatenate([cols, best_i[mine].ravel()]), np.concatenate([score, best_s[mine].ravel()])
-            order = np.lexsort((cols, -score.astype(np.float64), rows)) if exact else np.array(sorted(range(len(rows)), key=lambda t: (rows[t], -int(score[t]), cols[t])))
+            order = np.lexsort((cols, ~score, rows))
             rows, cols, score = rows[order], cols[order], score[order]
             starts = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
             top = starts[:, None] + np.arange(k)
@@ -137,7 +146,12 @@ def search_block(qids, q, ids, x, beat, k: int, turn: np.ndarray) -> list[np.nda
 
 
 LOW = np.iinfo(np.int64).min
-BEGUN = "qb long, longest double, least double, qids binary, q binary, beat binary, found_q binary, found_i binary, found_s binary"
+BEGUN = "longest double, least double, ids binary, vectors binary, beat binary, found_q binary, found_i binary, found_s binary"
+
+
+def _unpacked(dim: int, ids: bytes, vectors: bytes) -> tuple[np.ndarray, np.ndarray]:
+    ids = np.frombuffer(ids, np.int64)
+    return ids, np.frombuffer(vectors, np.int64).reshape(len(ids), dim)
 
 
 def _begin(queries: DataFrame, dim: int, k: int, turn: np.ndarray, ids: bytes, x: bytes) -> DataFrame:
@@ -146,12 +160,10 @@ def _begin(queries: DataFrame, dim: int, k: int, turn: np.ndarray, ids: bytes, x
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         turn, ids, x = sent.value
-        ids = np.frombuffer(ids, np.int64)
-        x = np.frombuffer(x, np.int64).reshape(len(ids), dim)
+        ids, x = _unpacked(dim, ids, x)
         for batch in batches:
             for r in batch.to_pylist():
-                qids = np.frombuffer(r["ids"], np.int64)
-                q = np.frombuffer(r["vectors"], np.int64).reshape(len(qids), dim)
+                qids, q = _unpacked(dim, r["ids"], r["vectors"])
                 fq, fi, fs = search_block(qids, q, ids, x, np.full(len(qids), LOW), k, turn)
                 beat = np.full(len(qids), LOW)
                 full, order = np.unique(fq, return_counts=True), np.lexsort((fs, fq))
@@ -160,9 +172,8 @@ def _begin(queries: DataFrame, dim: int, k: int, turn: np.ndarray, ids: bytes, x
                 for j, i in enumerate(qids.tolist()):
                     if enough.get(i):
                         beat[j] = lowest[i]
-                head = int.from_bytes(hashlib.sha256(r["ids"] + r["vectors"]).digest()[:8], "little", signed=True)
-                values = (head, r["longest"], float(beat.min()), r["ids"], r["vectors"], beat.tobytes(), fq.tobytes(), fi.tobytes(), fs.tobytes())
-                kinds = [pa.int64(), pa.float64(), pa.float64()] + [pa.binary()] * 6
+                values = (r["longest"], float(beat.min()), r["ids"], r["vectors"], beat.tobytes(), fq.tobytes(), fi.tobytes(), fs.tobytes())
+                kinds = [pa.float64(), pa.float64()] + [pa.binary()] * 6
                 yield pa.RecordBatch.from_arrays([pa.array([v], kind) for v, kind in zip(values, kinds, strict=True)], names=[c.split()[0] for c in BEGUN.split(", ")])
 
     return queries.select("longest", "ids", "vectors").mapInArrow(run, BEGUN)
@@ -177,19 +188,23 @@ def _unpack(begun: DataFrame) -> DataFrame:
     return begun.select("found_q", "found_i", "found_s").mapInArrow(run, RESULT)
 
 
-def _search(pairs: DataFrame, dim: int, k: int, turn: np.ndarray) -> DataFrame:
-    sent = pairs.sparkSession.sparkContext.broadcast(turn)  # dim x dim numbers
+def _search(x: DataFrame, queries: list, dim: int, k: int, turn: np.ndarray) -> DataFrame:
+    """The blocks ``x`` searched for one group of query blocks, each only where its longest vector matters to it."""
+    sent = x.sparkSession.sparkContext.broadcast((turn, [(r.longest, r.least, bytes(r.ids), bytes(r.vectors), bytes(r.beat)) for r in queries]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        turn, group = sent.value
         for batch in batches:
-            for r in range(batch.num_rows):
-                qids, q, beat, ids, x = (batch.column(c)[r].as_py() for c in range(5))
-                qids, ids, beat = (np.frombuffer(a, np.int64) for a in (qids, ids, beat))
-                q, x = np.frombuffer(q, np.int64).reshape(len(qids), dim), np.frombuffer(x, np.int64).reshape(len(ids), dim)
-                found = search_block(qids, q, ids, x, beat, k, sent.value)
-                yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], names=["query_id", "vec_id", "score"])
+            for row in range(batch.num_rows):
+                longest = batch.column(0)[row].as_py()
+                ids, vectors = _unpacked(dim, *(batch.column(c)[row].as_py() for c in (1, 2)))
+                for q_longest, least, qids, q, beat in group:
+                    if q_longest * longest * (1 + 1e-9) + 1 >= least:
+                        qids, q = _unpacked(dim, qids, q)
+                        found = search_block(qids, q, ids, vectors, np.frombuffer(beat, np.int64), k, turn)
+                        yield pa.RecordBatch.from_arrays([pa.array(f) for f in found], names=["query_id", "vec_id", "score"])
 
-    return pairs.select("qids", "q", "beat", "ids", "vectors").mapInArrow(run, RESULT)
+    return x.select("longest", "ids", "vectors").mapInArrow(run, RESULT)
 
 
 def best(found: DataFrame, k: int) -> DataFrame:
@@ -201,29 +216,33 @@ def best(found: DataFrame, k: int) -> DataFrame:
 def top_k(vectors: DataFrame, is_query, k: int = 5) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best other vectors of each vec_id that ``is_query`` (a Column) picks.
 
-    Blocks meet by an equality join on (query block, salt); a vector block is sent
-    only to the query blocks that its longest vector can still matter to. What
-    the driver sees is one row of bounds per block of ``QUERY_BLOCK`` queries.
+    A group of query blocks, at most ``GROUP_BYTES`` of them, goes over the stored vectors
+    at a time; what it finds is stored before the next one goes.
     """
-    base = materialize(quantize(vectors), "vectors")
+    base = materialize(quantize(vectors).withColumn("row", F.monotonically_increasing_id()), "vectors")
     n, dim = base.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
     asked = base.where(is_query).dropDuplicates(["vec_id", "v"])
     if not n:
         return base.select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.col("vec_id").alias("score")).where("false")
     dim = max(dim, 1)
     turn = rotation(base, dim)
-    x = materialize(blocks(base, dim, BLOCK, n), "vector-blocks").withColumn("xb", F.xxhash64("ids"))
-    head = x.orderBy(F.col("longest").desc(), "xb").limit(1).first()
-    q = materialize(_begin(blocks(asked, dim, QUERY_BLOCK, asked.count()), dim, k, turn, bytes(head.ids), bytes(head.vectors)), "query-blocks")
-    bounds = q.select("qb", "longest", "least").collect()
-    salts = min(256, -(-n // BLOCK))
-    grid = F.array(*[F.struct(F.lit(b.qb).alias("qb"), F.lit(b.longest).alias("q_longest"), F.lit(b.least).alias("least")) for b in bounds])
+    size = max(1, min(BLOCK, BLOCK_BYTES // (8 * dim)))
+    x = materialize(blocks(base, dim, size, n), "vector-blocks")
+    head = x.withColumn("xb", F.xxhash64("ids")).orderBy(F.col("longest").desc(), "xb").limit(1).first()
+    each = max(1, min(QUERY_BLOCK, BLOCK_BYTES // (8 * dim)))
+    q = _begin(blocks(asked, dim, each, asked.count()), dim, k, turn, bytes(head.ids), bytes(head.vectors))
+    together = max(1, GROUP_BYTES // (8 * dim * each))
+    q = materialize(q.withColumn("grp", F.floor(F.spark_partition_id() / together).cast("int")), "query-blocks")
+    # The least length a vector needs to matter to one of the blocks; a margin keeps rounding from leaving one out.
+    needed = F.min((F.col("least") - 1) / F.greatest(F.col("longest") * (1 + 1e-9), F.lit(1e-300)))
+    groups = q.groupBy("grp").agg((needed - F.abs(needed) * 1e-9).alias("needed")).orderBy("grp").collect()  # two numbers a group
+    rest, path = x.where(F.xxhash64("ids") != head.xb), f"{q.scratch_path}-found"
+    for g in groups:
+        mine = q.where(F.col("grp") == g.grp).select("longest", "least", "ids", "vectors", "beat").collect()  # GROUP_BYTES, twice at most
+        _search(rest.where(F.col("longest") >= g.needed), mine, dim, k, turn).write.parquet(f"{path}/grp={g.grp}")
     found = _unpack(q)
-    if bounds:
-        reach = F.filter(grid, lambda b: b.q_longest * F.col("longest") * (1 + 1e-9) + 1 >= b.least)
-        sent = x.where(F.col("xb") != head.xb).withColumn("qb", F.explode(F.transform(reach, lambda b: b.qb))).withColumn("salt", F.pmod("xb", F.lit(salts)))
-        asked_at = q.select("qb", "qids", "q", "beat", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias("salt"))
-        found = found.unionByName(_search(sent.join(asked_at, ["qb", "salt"]), dim, k, turn))
+    if groups:
+        found = found.unionByName(base.sparkSession.read.schema(RESULT).parquet(path).select(found.columns))
     return best(found, k)
 
 

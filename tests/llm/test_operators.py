@@ -402,7 +402,7 @@ def test_packing_plan():
     assert packing.fewest_documents({1: 4096}).sequences == 1 and packing.fewest_documents({}).sequences == 0
 
 
-def test_top_k(spark, tmp_path):
+def test_top_k(spark, tmp_path, monkeypatch):
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(np.random.default_rng(3).normal(size=(300, 6)))]
     rows += [(400, None), (450, [None, 1.0]), (500, [float("nan")]), (550, []), (600, [1.0]), (None, [1.0]), (50, rows[50][1]), (301, rows[0][1]), (302, rows[0][1])]
     spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
@@ -411,11 +411,26 @@ def test_top_k(spark, tmp_path):
     for q in {i for i, _ in good if i % 50 == 0}:
         scores = sorted({(-sum(a * b for a, b in zip(v, w, strict=False)), i, k) for qi, v in good if qi == q for k, (i, w) in enumerate(good) if i != q})[:5]
         want |= {(q, r + 1, i, -s) for r, (s, i, _) in enumerate(scores)}
-    topk.BLOCK, topk.QUERY_BLOCK, was = 40, 3, (topk.BLOCK, topk.QUERY_BLOCK)
-    try:
+    monkeypatch.setattr(topk, "BLOCK", 40)
+    monkeypatch.setattr(topk, "QUERY_BLOCK", 3)
+    for size in (topk.GROUP_BYTES, 1):  # all queries at once, and each block by itself
+        monkeypatch.setattr(topk, "GROUP_BYTES", size)
         assert {tuple(r) for r in topk.op7_top_k(spark, str(tmp_path)).collect()} == want
-    finally:
-        topk.BLOCK, topk.QUERY_BLOCK = was
+
+
+def test_top_k_of_huge_components(spark, tmp_path):
+    """Finite components whose products go beyond 64 bits: components and scores stop at the ends of the range."""
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=3) * 10.0 ** rng.integers(0, 13)).tolist()) for i in range(120)] + [(200, [3e38, -3e38, 1.0]), (250, [-3e38, 1.0, 2.0]), (300, [1e12, 1e12, 1e12])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    cut = lambda v: max(-(2**63), min(2**63 - 1, v))
+    whole = [(i, [cut(int(np.floor(256 * float(np.float32(x))))) for x in v]) for i, v in rows]
+    want = set()
+    for q, v in whole:
+        if q % 50 == 0:
+            scores = sorted((-cut(sum(a * b for a, b in zip(v, w, strict=True))), i) for i, w in whole if i != q)[:5]
+            want |= {(q, r + 1, i, -s) for r, (s, i) in enumerate(scores)}
+    assert {tuple(r) for r in topk.op7_top_k(spark, str(tmp_path)).collect()} == want and any(w[3] == 2**63 - 1 for w in want)
 
 
 @pytest.mark.parametrize("name", ["op7_top_k", "op8_url_filter", "op10_quality_rules"])
