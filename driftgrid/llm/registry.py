@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import corpus_pipeline
-from driftgrid.llm import packing, pieces, pii, quality, sharding, simhash, substrings, tokens, topk, urls
+from driftgrid.llm import packing, pieces, pii, quality, sharding, simhash, substrings, stages, tokens, topk, urls
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
@@ -16,7 +15,7 @@ QUERIES = {
     "op8_url_filter": urls.op8_url_filter,
     "op9_token_counts": tokens.op9_token_counts,
     "op10_quality_rules": quality.op10_quality_rules,
-    "pipeline": corpus_pipeline.run,
+    "pipeline": stages.run,
 }
 
 ORACLES = {
