@@ -1,64 +1,5 @@
-"""The corpus pipeline: quality rules, near-duplicates, repeated passages, personal data, packing.
+"""The corpus pipeline as the driver looks for it; its stages are in ``driftgrid.llm.stages``."""
 
-Each stage takes (spark, docs, sf_dir) and returns a DataFrame; :func:`run` writes
-each stage's result as Parquet in shared scratch and reads it again.
-"""
+from driftgrid.llm.stages import ORACLE_SQL, STAGES, run
 
-from __future__ import annotations
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from driftgrid.llm import packing, pii, quality, simhash, substrings, tokens
-from driftgrid.scratch import materialize
-
-#: Shortest repeated passage to go, in words.
-PASSAGE = 50
-
-
-def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the quality rules."""
-    judged = quality.judge(docs).withColumn("__held", F.monotonically_increasing_id())
-    # The held column keeps the optimizer from pushing the filter, and with it all metrics, below their projections.
-    return judged.where("kept AND __held >= 0").select(*docs.columns)
-
-
-def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that of the least id, of each class of near-duplicates."""
-    return simhash.keep_one(docs)
-
-
-def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of ``PASSAGE`` words or more that stand elsewhere too."""
-    return substrings.dedup(docs, substrings.shortened, "text string, n_chars long", PASSAGE).select(*docs.columns)
-
-
-def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with personal data replaced by its kind."""
-    clean = pii.detect(docs, redacted="text")
-    return clean.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
-
-
-def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents' token pieces and their places in sequences."""
-    cap = packing.Capacity()
-    return packing.pack(packing.cut(docs, tokens.default_path(), cap.tokens), cap)
-
-
-STAGES = [
-    ("quality_rules", quality_stage),
-    ("simhash_near_dedup", near_dedup_stage),
-    ("substring_dedup", substring_stage),
-    ("pii", pii_stage),
-    ("best_fit_packing", packing_stage),
-]
-
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
-    return STAGES[-1][1](spark, docs, sf_dir)
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
