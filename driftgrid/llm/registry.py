@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from driftgrid.llm import packing, pieces, pii, quality, sharding, simhash, substrings, stages, tokens, topk, urls
+from driftgrid.llm import packing, pieces, pii, quality, sharding, simhash, stages, substrings, tokens, topk, urls
 
 QUERIES = {
     "op1_sentencepiece": pieces.op1_sentencepiece,
