@@ -28,12 +28,12 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from driftgrid.llm.columns import unused
+from driftgrid.llm.columns import slices, unused
 from driftgrid.llm.components import components
 from driftgrid.scratch import drop, materialize
 
 SEED = 42
-FRONTIER = 1 << 20
+FRONTIER = 1 << 18
 BATCH_ROWS = 1 << 18
 BATCH_BYTES = 1 << 25
 KEEP_COUNTS = 1 << 26
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, width: int = 3, text: str = "text") -> DataFra
     schema = docs.select(*own, F.lit(0).cast("long").alias("fp")).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             fps = [fingerprint(shingle_hashes(t or "", width)) for t in batch.column(len(own)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(fps, pa.int64())], names=[*own, "fp"])
 
@@ -197,9 +197,12 @@ def in_blocks(keyed: DataFrame, node: str, load, most: int) -> DataFrame:
 
     Two nodes of a key still share one, and no key holds much over twice ``most``.
     """
-    full = keyed.groupBy(F.col("key").alias("__key")).agg(load.alias("__load")).where(F.col("__load") > most).withColumn("__n", F.ceil(F.col("__load") / most).cast("int"))
+    full = keyed.groupBy(F.col("key").alias("__key")).agg(load.alias("__load")).where(F.col("__load") > most)
+    full = materialize(full.select("__key", F.ceil(F.col("__load") / most).cast("int").alias("__n")), "full")
+    if full.isEmpty():
+        return keyed
     mine, other = F.pmod(F.xxhash64(F.col(node)), F.col("__n")).cast("int"), F.col("__other")
-    both = keyed.join(full.select("__key", "__n"), F.col("key") == F.col("__key"), "left")
+    both = keyed.join(full, F.col("key") == F.col("__key"), "left")
     dealt = both.withColumn("__other", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("__n"), F.lit(1)) - 1)))
     key = F.when(F.col("__n").isNull(), F.col("key")).otherwise(F.xxhash64("key", F.least(mine, other), F.greatest(mine, other)))
     return dealt.withColumn("key", key).drop("__key", "__n", "__other")
@@ -226,7 +229,7 @@ def by_key(keyed: DataFrame, node: str, words: list[str], carried: list[str], so
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, data, size = np.zeros((len(at), 0), np.int64), [], 0
         for batch in batches:
-            for part in (batch.slice(i, 2048) for i in range(0, batch.num_rows, 2048)) if payload else (batch,):
+            for part in slices([batch], 2048) if payload else (batch,):
                 held = np.concatenate([held, np.stack([part.column(i).to_numpy(zero_copy_only=False) for i in at])], axis=1)
                 if payload:
                     data += part.column(len(columns)).to_pylist()
@@ -492,7 +495,7 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str
     schema = ", ".join(["id long", "h long", "set_a long", "set_b long", "size long", *(f"{f} long" for f in PRINTS), "bands array<bigint>"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             sets = [np.unique(shingle_hashes(t or "", width)) for t in batch.column(2).to_pylist()]
             made = [sketch(s) for s in sets]
             digests = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s) for s in sets), np.int64).reshape(-1, 2)
@@ -507,7 +510,7 @@ def keep_one(docs: DataFrame, width: int = 5, similarity: float = 0.8, text: str
     drop(printed)
 
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             made = [np.unique(shingle_hashes(t or "", width)).tobytes() for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.binary())], names=["node", "shingles"])
 

@@ -42,6 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from driftgrid.llm.columns import slices
 from driftgrid.scratch import materialize
 
 PREFIX = 8
@@ -245,13 +246,6 @@ def mask(n: int, intervals: list) -> np.ndarray:
     return np.cumsum(step[:n]) > 0
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 256) -> Iterator[pa.RecordBatch]:
-    """The batches in small pieces, so that few texts at a time become Python objects."""
-    for batch in batches:
-        for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
-
-
 Finish = Callable[[bytes, np.ndarray, np.ndarray, np.ndarray], tuple]
 
 
