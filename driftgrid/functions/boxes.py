@@ -80,6 +80,11 @@ def grow_to(a: Box, x: Column, y: Column) -> Box:
     return Box(F.least(a.xlo, x), F.least(a.ylo, y), F.greatest(a.xhi, x), F.greatest(a.yhi, y))
 
 
+def grows(a: Box, x: Column, y: Column) -> Column:
+    """Whether :func:`grow_to` moves a side."""
+    return (x < a.xlo) | (y < a.ylo) | (x > a.xhi) | (y > a.yhi)
+
+
 def overlap_area(a: Box, b: Box, eps: float = EPS) -> Column:
     side = lambda lo1, hi1, lo2, hi2: F.greatest(F.lit(0.0), F.least(hi1, hi2) - F.greatest(lo1, lo2))
     size = side(a.xlo, a.xhi, b.xlo, b.xhi) * side(a.ylo, a.yhi, b.ylo, b.yhi)
@@ -152,6 +157,41 @@ def cell_corner(g: Column, high: float, cells: int, upper: bool = False) -> Colu
     return (g + (1 if upper else 0)) * F.lit(high / cells)
 
 
+class Cells(NamedTuple):
+    """Four integer columns: a box of grid cells, both ends included."""
+
+    gx0: Column
+    gy0: Column
+    gx1: Column
+    gy1: Column
+
+
+def cells_of(a: Box, high: tuple[float, float], cells: int) -> Cells:
+    """The cells of a box: from the floor of its low corner to the ceiling of its high one."""
+    return Cells(grid_floor(a.xlo, high[0], cells), grid_floor(a.ylo, high[1], cells), grid_ceil(a.xhi, high[0], cells), grid_ceil(a.yhi, high[1], cells))
+
+
+def cells_box(c: Cells, high: tuple[float, float], cells: int) -> Box:
+    """From the lower corner of the low cell to the upper corner of the high one."""
+    return Box(cell_corner(c.gx0, high[0], cells), cell_corner(c.gy0, high[1], cells), cell_corner(c.gx1, high[0], cells, True), cell_corner(c.gy1, high[1], cells, True))
+
+
+def cells_hold(c: Cells, gx: Column, gy: Column) -> Column:
+    return (c.gx0 <= gx) & (gx <= c.gx1) & (c.gy0 <= gy) & (gy <= c.gy1)
+
+
+def cells_meet(a: Cells, b: Cells) -> Column:
+    return (a.gx0 <= b.gx1) & (b.gx0 <= a.gx1) & (a.gy0 <= b.gy1) & (b.gy0 <= a.gy1)
+
+
+def cells_same(a: Cells, b: Cells) -> Column:
+    """Equality; two boxes of nulls are the same."""
+    out = F.lit(True)
+    for p, q in zip(a, b, strict=True):
+        out = out & p.eqNullSafe(q)
+    return out
+
+
 def density_cell(c: Column, low: float, high: float, cells: int) -> Column:
     """The grid cell of a center, clamped into the grid."""
     return F.least(F.greatest(F.floor((c - low) / (high - low) * float(cells)).cast("int"), F.lit(0)), F.lit(cells - 1))
@@ -188,6 +228,16 @@ def fixed_text(x: Column, decimals: int = 5) -> Column:
     return F.regexp_replace(F.format_string(f"%.{decimals}f", x), r"^(-?)0\.", "$1.")
 
 
+def date_text(ts: Column, pattern: str = "yyyy-MM-dd HH:mm:ss") -> Column:
+    """Epoch milliseconds as text in the session's time zone; ``hh`` for twelve hours."""
+    return F.date_format(F.timestamp_millis(ts), pattern)
+
+
+def path_code(path: Column) -> Column:
+    """A tree path (array of quadrants) as one long, three bits a level behind a leading one."""
+    return F.aggregate(path, F.lit(1).cast("long"), lambda acc, q: acc * 8 + q)
+
+
 def same_way(a: Column, b: Column) -> Column:
     """Tree paths as arrays: 1 if a leads to b, -1 if b leads to a, else 0."""
     return F.when(F.slice(b, 1, F.greatest(F.size(a), F.lit(0))) == a, 1).when(F.slice(a, 1, F.size(b)) == b, -1).otherwise(0)

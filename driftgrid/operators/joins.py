@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from driftgrid.functions.boxes import box, contains, contains_point, intersects
+from driftgrid.functions.boxes import Box, box, contains, contains_point, intersects
 from driftgrid.params import Params
 
 
@@ -57,31 +57,68 @@ def points_in_boxes(points: DataFrame, boxes: DataFrame, size: float, eps: float
     return to_cells(boxes, "q", size, 2 * eps).join(p, ["gx", "gy"]).where(contains_point(box("q"), F.col("x"), F.col("y"), eps)).drop("gx", "gy")
 
 
-def assign(rows: DataFrame, layout: DataFrame, prefix: str = "", eps: float = 1e-5) -> DataFrame:
-    """Each row once per leaf of ``layout`` (leaf, lxlo..lyhi) that its box meets; a layout has at most a few hundred rows."""
-    return rows.join(F.broadcast(layout), intersects(box(prefix), box("l"), eps)).drop("lxlo", "lylo", "lxhi", "lyhi")
+def leaf_set(layout, prefix: str = "", eps: float = 1e-5):
+    """The sorted leaves (Column) that a row's box meets: of a list (leaf, lxlo, lylo, lxhi, lyhi) or of an array column of such structs."""
+    if isinstance(layout, list):
+        names = ("lxlo", "lylo", "lxhi", "lyhi")
+        layout = F.array(*[F.struct(F.lit(int(i)).alias("leaf"), *[F.lit(float(v)).alias(k) for k, v in zip(names, bounds, strict=True)]) for i, *bounds in layout])
+    mine = box(prefix)
+    met = F.filter(layout, lambda l: intersects(mine, Box(l["lxlo"], l["lylo"], l["lxhi"], l["lyhi"]), eps))
+    return F.array_sort(F.transform(met, lambda l: l["leaf"]))
 
 
-def leaf_pairs(queries: DataFrame, segs: DataFrame, layout: DataFrame, p: Params) -> DataFrame:
-    """The range join over a layout's leaves: both sides go to their leaves and meet on (window, leaf).
+def assign(rows: DataFrame, layout, prefix: str = "", eps: float = 1e-5) -> DataFrame:
+    """Each row once per leaf that its box meets; a layout (list of leaves and bounds) has at most a few hundred leaves."""
+    return rows.withColumn("leaf", F.explode(leaf_set(layout, prefix, eps)))
 
-    Leaves share edges, so a pair may meet in several; it is kept in the least leaf
-    that both touch.
+
+def pairs_by_leaf(queries: DataFrame, segs: DataFrame, p: Params, keys: list[str]) -> DataFrame:
+    """The range join of queries with their leaves ``ql`` and segments with their leaves ``sl``.
+
+    Both sides go to their leaves and meet on ``keys`` and the leaf. Leaves share edges, so a
+    pair may meet in several; it is kept in the least leaf that both touch.
     """
-    leaves = lambda rows, prefix, name: assign(rows, layout, prefix, p.eps).withColumnRenamed("leaf", name)
-    q = leaves(queries.select("qid", "win", "qxlo", "qylo", "qxhi", "qyhi"), "q", "leaf").groupBy("qid", "win", "qxlo", "qylo", "qxhi", "qyhi").agg(F.sort_array(F.collect_set("leaf")).alias("ql"))
-    s = leaves(segs, "", "leaf").groupBy(*segs.columns).agg(F.sort_array(F.collect_set("leaf")).alias("sl"))
-    left = to_windows(q, p).withColumn("leaf", F.explode("ql"))
-    right = s.withColumn("leaf", F.explode("sl"))
+    left = queries.withColumn("leaf", F.explode("ql"))
+    right = segs.withColumn("leaf", F.explode("sl"))
     least = F.array_min(F.array_intersect("ql", "sl"))
-    return left.join(right, ["win", "leaf"]).where(intersects(box("q"), box(), p.eps) & (F.col("leaf") == least)).drop("win", "leaf", "ql", "sl")
+    return left.join(right, [*keys, "leaf"]).where(intersects(box("q"), box(), p.eps) & (F.col("leaf") == least)).drop(*keys, "leaf", "ql", "sl")
+
+
+def leaf_pairs(queries: DataFrame, segs: DataFrame, layout: list[tuple], p: Params) -> DataFrame:
+    """The range join over a layout's leaves."""
+    q = queries.select("qid", "win", "qxlo", "qylo", "qxhi", "qyhi").withColumn("ql", leaf_set(layout, "q", p.eps))
+    return pairs_by_leaf(to_windows(q, p), segs.withColumn("sl", leaf_set(layout, "", p.eps)), p, ["win"])
+
+
+def holders(rows: DataFrame, assigned: DataFrame, key: str = "seq") -> DataFrame:
+    """Element lookup: which leaves of ``assigned`` (key, leaf) hold each of ``rows``; one that none holds is not there."""
+    return rows.select(key).join(assigned.select(key, "leaf"), key)
 
 
 def merge(pairs: DataFrame, queries: DataFrame, p: Params) -> DataFrame:
-    """One row per query: its distinct segments, and their number. Queries without hits have an empty list, or none."""
+    """One row per query: its distinct segments, and their number. Queries without hits have an empty list, or none.
+
+    Queries that are stamped (:func:`stamp`) keep the first ``input_time``.
+    """
     hit = F.struct("seq", "tid", "ts1", "x1", "y1", "ts2", "x2", "y2")
     out = pairs.groupBy("qid").agg(F.sort_array(F.collect_set(hit)).alias("segments"))
     how = "left" if p.emit_empty else "inner"
-    out = queries.select("qid", "win").join(out, "qid", how)
+    stamped = [c for c in ("input_time",) if c in queries.columns]
+    out = queries.select("qid", "win", *stamped).join(out, "qid", how)
     empty = F.coalesce("segments", F.array().cast(out.schema["segments"].dataType))
-    return out.select("qid", "win", empty.alias("segments")).withColumn("n", F.size("segments").cast("long"))
+    return out.select("qid", "win", *stamped, empty.alias("segments")).withColumn("n", F.size("segments").cast("long"))
+
+
+def merge_parts(parts: DataFrame) -> DataFrame:
+    """Partial results (qid, input_time, segments) as one a query: the first input time and the union of the lists."""
+    return parts.groupBy("qid").agg(F.min("input_time").alias("input_time"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("segments")))).alias("segments"))
+
+
+def stamp(rows: DataFrame, name: str = "input_time") -> DataFrame:
+    """Adds the wall clock in ms, as of the query that reads it."""
+    return rows.withColumn(name, F.unix_millis(F.current_timestamp()))
+
+
+def latency(results: DataFrame) -> DataFrame:
+    """Results that have ``input_time``, with ``output_time`` and the ``latency_ms`` between them."""
+    return stamp(results, "output_time").withColumn("latency_ms", F.col("output_time") - F.col("input_time"))

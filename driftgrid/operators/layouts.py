@@ -1,12 +1,13 @@
 """Partition layouts: sort-tile rank cuts, adaptive quad cuts, leaf ids, migration.
 
-A layout has at most ``partitions`` leaves, so all of this runs on the driver over
-a density grid of fixed size; the data only ever meets the result, as a table.
+A layout has at most ``partitions`` leaves, so it is worked out on the driver over a
+density grid of fixed size, one cycle at a time; the data only ever meets the result, as
+an expression or a table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 
 import numpy as np
@@ -14,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from driftgrid.functions.boxes import box, intersects
+from driftgrid.operators.trajectories import numbered
 from driftgrid.params import Params
 
 LAYOUT = "leaf int, lxlo double, lylo double, lxhi double, lyhi double"
@@ -39,56 +41,118 @@ def quadrants(p: Params) -> list[Leaf]:
     return [Leaf(*s, count=0, path=(i,), id=i) for i, s in enumerate(spots)]
 
 
-def _cut(line: np.ndarray) -> int:
-    """The place that halves a marginal best, both sides at least one cell."""
-    left = np.cumsum(line)[:-1]
-    return int(np.argmin(np.abs(2 * left - line.sum())))
+def least_prefix(line: np.ndarray, bound: float) -> int:
+    """The first place at which the running sum reaches ``bound``; the last but one if it never does, so that something is left beside it."""
+    return min(int(np.searchsorted(np.cumsum(line), bound)), len(line) - 2)
 
 
-def split(leaf: Leaf, grid: np.ndarray) -> list[Leaf]:
-    """Four leaves: x cut at half the items, then each side's y; a side one cell wide is not cut."""
+def split(leaf: Leaf, grid: np.ndarray, targets: tuple[float, float, float]) -> list[Leaf]:
+    """Four leaves: x is cut where the first two targets are reached, then y on each side on its own; a side one cell wide is not cut.
+
+    Leaf 0 has low x and low y, 1 low x and high y, 2 high x and low y, 3 high x and high y.
+    """
     part = grid[leaf.x0 : leaf.x1 + 1, leaf.y0 : leaf.y1 + 1]
     xs = [(leaf.x0, leaf.x1)]
     if leaf.x1 > leaf.x0:
-        c = leaf.x0 + _cut(part.sum(axis=1))
+        c = leaf.x0 + least_prefix(part.sum(axis=1), targets[0] + targets[1])
         xs = [(leaf.x0, c), (c + 1, leaf.x1)]
     out = []
     for i, (x0, x1) in enumerate(xs):
-        line = grid[x0 : x1 + 1, leaf.y0 : leaf.y1 + 1].sum(axis=0)
         ys = [(leaf.y0, leaf.y1)]
         if leaf.y1 > leaf.y0:
-            c = leaf.y0 + _cut(line)
+            c = leaf.y0 + least_prefix(grid[x0 : x1 + 1, leaf.y0 : leaf.y1 + 1].sum(axis=0), targets[2 * i])
             ys = [(leaf.y0, c), (c + 1, leaf.y1)]
         out += [Leaf(x0, y0, x1, y1, int(grid[x0 : x1 + 1, y0 : y1 + 1].sum()), (*leaf.path, 2 * i + j)) for j, (y0, y1) in enumerate(ys)]
     return out
 
 
+#: How a region is split by its items. Units: a quarter of the items, the bound, the fill (1.5 bounds),
+#: what is left beside two targets or beside a fill. Each row: up to how many units (included or not), the three targets
+#: as shares of units, and which of the four leaves are split on.
+QUARTER, BOUND, FILL, HALF_REST, THIRD_REST = "quarter", "bound", "fill", "half of the rest", "third of the rest"
+SCHEDULE = (
+    (3, FILL, True, ((0.85, QUARTER), (0.9, QUARTER), (0.9, QUARTER)), ()),
+    (4, FILL, True, ((0.8, QUARTER), (0.85, QUARTER), (0.9, QUARTER)), ()),
+    (5, FILL, False, ((0.95, QUARTER), (0.9, QUARTER), (0.98, QUARTER)), ()),
+    (7, FILL, False, ((0.95, BOUND), (1.0, BOUND), (0.85, BOUND)), (3,)),
+    (8, FILL, False, ((0.85, FILL), (0.75, FILL), (0.9, FILL)), (3,)),
+    (8.5, FILL, False, ((1.2, FILL), (1.0, FILL), (1.1, FILL)), (3,)),
+    (11, FILL, False, ((1.2, BOUND), (1.2, BOUND), (1.0, HALF_REST)), (2, 3)),
+    (15, FILL, False, ((0.9, FILL), (0.9, THIRD_REST), (0.9, THIRD_REST)), (1, 2, 3)),
+    (float("inf"), FILL, False, ((1.0, QUARTER), (0.9, QUARTER), (1.0, QUARTER)), (0, 1, 2, 3)),
+)
+#: In bounds, below which a region is one leaf, from which a leaf is split by itself, and the share of an even load that is the bound.
+WHOLE, SPLIT, LOAD = 2.2, 4.5, 0.8
+
+
+def grow(leaf: Leaf, grid: np.ndarray, bound: int) -> list[Leaf]:
+    """The leaves that a region becomes under the schedule; the root always becomes four at least."""
+    n, fill = leaf.count, int(bound * 1.5)
+    if n < max(WHOLE * bound, 1) and leaf.path or (leaf.x0, leaf.y0) == (leaf.x1, leaf.y1):
+        return [leaf]
+    units = {QUARTER: n / 4, BOUND: bound, FILL: fill, HALF_REST: (n - 2 * int(1.2 * bound)) / 2, THIRD_REST: (n - fill) / 3}
+    if n < WHOLE * bound:
+        targets, again = SCHEDULE[-1][3], ()
+    else:
+        targets, again = next((t, k) for most, unit, included, t, k in SCHEDULE if n < most * units[unit] or included and n == most * units[unit])
+    out = []
+    for x in split(leaf, grid, tuple(int(share * units[unit]) for share, unit in targets)):
+        out += grow(x, grid, bound) if x.path[-1] in again else [x]
+    return out
+
+
+def picks(leaves: list[Leaf], bound: int) -> list[tuple[int, ...]]:
+    """Paths of the regions to be made anew: of each leaf with too many or too few items the least region around it that can hold leaves of the right size."""
+    counts: dict[tuple[int, ...], int] = {}
+    for x in leaves:
+        for k in range(len(x.path) + 1):
+            counts[x.path[:k]] = counts.get(x.path[:k], 0) + x.count
+    only_root = all(len(x.path) == 1 for x in leaves)
+    found = set()
+    for x in leaves:
+        if x.count > 2 * bound or x.count < bound and not only_root:
+            at = x.path
+            if x.count < SPLIT * bound:
+                at = at[:-1]
+                while at and not (bound <= counts[at] <= 2 * bound or counts[at] >= SPLIT * bound):
+                    at = at[:-1]
+            found.add(at)
+    return sorted(p for p in found if not any(p[:k] in found for k in range(len(p))))
+
+
 def adapt(old: list[Leaf], grid: np.ndarray, p: Params) -> list[Leaf]:
-    """The next layout for a density grid.
+    """The next layout for a density grid, a pure function of the old one.
 
-    Subtrees with too few items close into one leaf, then the fullest leaf is split
-    while it holds over twice the bound and the partitions allow. An empty or tiny
-    cycle (bound zero) keeps the layout. Leaves that stay keep their ids; new ones
-    get the ids that save most items from moving.
+    The bound is ``LOAD`` of an even load. Regions with leaves beyond it are made
+    anew by the schedule; while that gives more leaves than partitions the bound is
+    raised by factors of 1.1, 1.2 and so on. An empty or tiny cycle (bound zero) keeps the
+    layout. Leaves that stay keep their ids; new ones get the ids that save most items
+    from moving.
     """
-    bound = int(grid.sum() / p.partitions * 0.8)
     leaves = [replace(x, count=int(grid[x.x0 : x.x1 + 1, x.y0 : x.y1 + 1].sum())) for x in old]
-    if bound == 0:
-        return leaves
-    depth = max(len(x.path) for x in leaves)
-    for d in range(depth - 1, 0, -1):
-        for head in sorted({x.path[:d] for x in leaves if len(x.path) > d}):
-            group = [x for x in leaves if x.path[:d] == head]
-            if len(group) > 1 and sum(x.count for x in group) < bound:
-                one = Leaf(min(x.x0 for x in group), min(x.y0 for x in group), max(x.x1 for x in group), max(x.y1 for x in group), sum(x.count for x in group), head)
-                leaves = [x for x in leaves if x.path[:d] != head] + [one]
-    while True:
-        full = [x for x in leaves if x.count > 2 * bound and (x.x1 > x.x0 or x.y1 > x.y0)]
-        if not full or len(leaves) + 3 > p.partitions:
-            break
-        top = max(full, key=lambda x: (x.count, x.path))
-        leaves = [x for x in leaves if x is not top] + split(top, grid)
-    return relabel(old, sorted(leaves, key=lambda x: x.path), grid, p.partitions)
+    items = int(grid.sum())
+    bound, factor = int(items // p.partitions * LOAD), 1.0
+    while 0 < bound <= items:
+        new, made = leaves, picks(leaves, bound)
+        for at in made:
+            group = [x for x in leaves if x.path[: len(at)] == at]
+            region = Leaf(min(x.x0 for x in group), min(x.y0 for x in group), max(x.x1 for x in group), max(x.y1 for x in group), sum(x.count for x in group), at)
+            new = [x for x in new if x.path[: len(at)] != at] + grow(region, grid, bound)
+        if len(new) <= p.partitions:
+            return relabel(old, sorted(new, key=lambda x: x.path), grid, p.partitions) if made else leaves
+        factor += 0.1
+        bound = max(bound + 1, int(factor * bound))
+    return leaves
+
+
+def fullest(leaves: list[Leaf]) -> Leaf:
+    """The first leaf with most items."""
+    return max(leaves, key=lambda x: x.count)
+
+
+def by_count(leaves: list[Leaf]) -> list[Leaf]:
+    """Leaves from the fewest items to the most; equal ones keep their order."""
+    return sorted(leaves, key=lambda x: x.count)
 
 
 def overlap(new: list[Leaf], old: list[Leaf], grid: np.ndarray) -> np.ndarray:
@@ -158,40 +222,84 @@ def layout_table(spark: SparkSession, boxes: list[tuple]) -> DataFrame:
     return spark.createDataFrame([(int(i), *map(float, b)) for i, *b in boxes], LAYOUT)
 
 
-def grids(density: DataFrame, p: Params) -> dict[int, np.ndarray]:
-    """Density grids by cycle: at most grid x grid rows for each cycle in use."""
-    out: dict[int, np.ndarray] = {}
-    for r in density.collect():
-        out.setdefault(r.cycle, np.zeros((p.grid, p.grid), np.int64))[r.gx, r.gy] = r.cnt
-    return out
+def by_cycle(density: DataFrame, p: Params) -> Iterator[tuple[int, np.ndarray]]:
+    """(cycle, density grid) in order; the driver holds one cycle's cells at a time, at most grid x grid."""
+    last, grid = None, None
+    for r in density.repartitionByRange("cycle").sortWithinPartitions("cycle").toLocalIterator():
+        if r.cycle != last:
+            if last is not None:
+                yield last, grid
+            last, grid = r.cycle, np.zeros((p.grid, p.grid), np.int64)
+        grid[r.gx, r.gy] = r.cnt
+    if last is not None:
+        yield last, grid
 
 
 def fold_layouts(density: DataFrame, p: Params) -> dict[int, list[Leaf]]:
-    """The layout in force in each cycle: made from the density of the cycle before."""
-    found, layout, out = grids(density, p), quadrants(p), {}
-    for cycle in range(min(found, default=0), max(found, default=0) + 2):
-        out[cycle] = layout
-        layout = adapt(layout, found.get(cycle, np.zeros((p.grid, p.grid), np.int64)), p)
+    """The layout in force in each cycle that has items or follows one that has: made from the density of the cycle before.
+
+    A cycle without items keeps the layout, so cycles between are not listed.
+    """
+    layout, out = quadrants(p), {}
+    for cycle, grid in by_cycle(density, p):
+        out.setdefault(cycle, layout)
+        layout = adapt(layout, grid, p)
+        out[cycle + 1] = layout
     return out
 
 
-def str_layout(points: DataFrame, p: Params, x: str = "x", y: str = "y") -> list[tuple]:
-    """Sort-tile-recursive leaves from a sample: rows at rank cuts of y from the top, columns at rank cuts of x.
+def cycle_table(spark: SparkSession, layouts: dict[int, list[Leaf]], p: Params) -> DataFrame:
+    """(cycle, leaves): one row a cycle with its leaves' bounds, to be joined by cycle."""
+    rows = [(int(c), [(int(i), *map(float, b)) for i, *b in to_boxes(leaves, p)]) for c, leaves in layouts.items()]
+    return spark.createDataFrame(rows, f"cycle long, leaves array<struct<{LAYOUT.replace(' ', ': ').replace(',:', ',')}>>")
+
+
+def leaf_of_cell(cells: DataFrame, leaves: list[Leaf]) -> DataFrame:
+    """Each cell (gx, gy) with the ``leaf`` that holds it; leaves tile the grid, so there is one."""
+    rows = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in (("leaf", x.id), ("x0", x.x0), ("y0", x.y0), ("x1", x.x1), ("y1", x.y1))]) for x in leaves])
+    inside = lambda b: (F.col("gx") >= b["x0"]) & (F.col("gx") <= b["x1"]) & (F.col("gy") >= b["y0"]) & (F.col("gy") <= b["y1"])
+    return cells.withColumn("leaf", F.get(F.filter(rows, inside), 0)["leaf"])
+
+
+def overlap_table(density: DataFrame, new: list[Leaf], old: list[Leaf]) -> DataFrame:
+    """(new_leaf, old_leaf, cnt): items common to each new and old leaf, from (gx, gy, cnt)."""
+    both = leaf_of_cell(leaf_of_cell(density, new).withColumnRenamed("leaf", "new_leaf"), old).withColumnRenamed("leaf", "old_leaf")
+    return both.groupBy("new_leaf", "old_leaf").agg(F.sum("cnt").alias("cnt"))
+
+
+def str_cuts(points: DataFrame, partitions: int) -> list[tuple[float, list[float]]]:
+    """Rows from the top: (y of the cut below, x of the cuts between columns), at exact ranks.
 
-    Exact ranks come from quantiles with error zero on the sample; cuts are at most
-    as many as partitions.
+    Row i ends before rank floor(n i / rows) of the points by falling y, ties by
+    arrival; its columns are cut alike by rising x. Only the points at cuts reach the
+    driver, fewer than partitions.
     """
-    rows = int(p.partitions**0.5)
+    rows = int(partitions**0.5)
+    n = points.count()
+    ranked = numbered(points, F.col("y").desc(), "seq")
+    ends = [int(i / rows * n) for i in range(1, rows)]
+    low = {r.nth: r.y for r in ranked.where(F.col("nth").isin(ends or [-1])).select("nth", "y").collect()}
+    line = F.lit(0)
+    for e in ends:
+        line = line + (F.col("nth") >= e).cast("int")
+    placed = numbered(ranked.withColumn("line", line).withColumnRenamed("nth", "place"), "line", "x", "place")
+    edges = [0, *ends, n]
+    sizes = [b - a for a, b in zip(edges, edges[1:], strict=False)]
+    columns = [partitions // rows + (r < partitions % rows) for r in range(rows)]
+    at = [[edges[r] + int(j / columns[r] * sizes[r]) for j in range(1, columns[r])] for r in range(rows)]
+    found = {r.nth: r.x for r in placed.where(F.col("nth").isin([k for ks in at for k in ks] or [-1])).select("nth", "x").collect()}
+    return [(low.get(ends[r]) if r < rows - 1 else None, [found.get(k) for k in at[r]]) for r in range(rows)]
+
+
+def str_layout(points: DataFrame, p: Params) -> list[tuple]:
+    """Sort-tile-recursive leaves of points (seq, x, y): rows at rank cuts of y from the top, columns at rank cuts of x; the outermost reach beyond the region."""
     far = 1.5 * (p.region[2] - p.region[0])
     left, low, right, high = p.region[0] - far, p.region[1] - far, p.region[2] + far, p.region[3] + far
-    ycuts = points.approxQuantile(y, [1 - i / rows for i in range(1, rows)], 0.0) if rows > 1 else []
-    edges, out = [high, *ycuts, low], []
-    for r in range(rows):
-        columns = p.partitions // rows + (r < p.partitions % rows)
-        part = points.where((F.col(y) <= edges[r]) & (F.col(y) >= edges[r + 1]))
-        xcuts = part.approxQuantile(x, [i / columns for i in range(1, columns)], 0.0) if columns > 1 else []
-        xs = [left, *(xcuts or [left] * (columns - 1)), right]
-        out += [(len(out) + c, xs[c], edges[r + 1], xs[c + 1], edges[r]) for c in range(columns)]
+    top, out = high, []
+    for bottom, cuts in str_cuts(points, p.partitions):
+        bottom, xs = low if bottom is None else bottom, [left, *(left if c is None else c for c in cuts), right]
+        out += [(len(out) + c, xs[c], bottom, xs[c + 1], top) for c in range(len(xs) - 1)]
+        top = bottom
     return out
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from driftgrid.functions.boxes import near, window_start
 from driftgrid.params import Params
+from driftgrid.scratch import materialize
 
 
 def pair_points(points: DataFrame) -> DataFrame:
@@ -15,6 +19,32 @@ def pair_points(points: DataFrame) -> DataFrame:
     return points.select("*", *[F.lag(c).over(before).alias(f"{c}0") for c in ("ts", "x", "y")])
 
 
+def cut_by_sweeps(paired: DataFrame, gap: int) -> DataFrame:
+    """``paired`` points with ``swept``: whether their trajectory had been dropped as idle before they came.
+
+    Idle trajectories are dropped in sweeps, and only the arrival of a trajectory that
+    is not known, over ``gap`` after the last sweep, makes one. Whether a trajectory is
+    known depends on the sweeps before, so this is a fold in order of arrival, with one
+    number for its state, over the points that can matter: a trajectory's first and
+    those after a gap. These few go through one task, row by row.
+    """
+    some = paired.where(F.col("ts0").isNull() | (F.col("ts") - F.col("ts0") > gap)).select("seq", "ts", "ts0")
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = 0
+        for batch in batches:
+            swept = []
+            for ts, before in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                gone = before is not None and last - before > gap
+                if (gone or before is None) and ts - last > gap:
+                    last = ts
+                swept.append(gone)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(swept, pa.bool_())], names=["seq", "swept"])
+
+    told = some.repartition(1).sortWithinPartitions("seq").mapInArrow(fold, "seq long, swept boolean").where("swept")
+    return paired.join(told, "seq", "left").withColumn("swept", F.coalesce("swept", F.lit(False)))
+
+
 def segments(points: DataFrame, p: Params) -> DataFrame:
     """(seq, tid, ts1, x1, y1, ts2, x2, y2, bounds, win): moves that are neither stationary nor jumps.
 
@@ -23,28 +53,41 @@ def segments(points: DataFrame, p: Params) -> DataFrame:
     """
     ok = F.col("ts0").isNotNull() & ~(near(F.col("x"), F.col("x0"), p.eps) & near(F.col("y"), F.col("y0"), p.eps))
     ok = ok & (F.abs(F.col("x") - F.col("x0")) <= p.max_segment) & (F.abs(F.col("y") - F.col("y0")) <= p.max_segment)
-    if p.inactivity_ms is not None:
+    paired = pair_points(points)
+    if p.inactivity_ms is not None and p.eviction == "exact":
+        paired = cut_by_sweeps(paired, p.inactivity_ms)
+        ok = ok & ~F.col("swept")
+    elif p.inactivity_ms is not None:
         ok = ok & (F.col("ts") - F.col("ts0") <= p.inactivity_ms)
     late = F.col("ts") >= F.col("ts0")
     ends = [e for c in ("ts", "x", "y") for e in (F.when(late, F.col(f"{c}0")).otherwise(F.col(c)).alias(f"{c}1"), F.when(late, F.col(c)).otherwise(F.col(f"{c}0")).alias(f"{c}2"))]
     sides = [F.least("x", "x0").alias("xlo"), F.least("y", "y0").alias("ylo"), F.greatest("x", "x0").alias("xhi"), F.greatest("y", "y0").alias("yhi")]
-    out = pair_points(points).where(ok).select("seq", "tid", *ends, *sides)
+    out = paired.where(ok).select("seq", "tid", *ends, *sides)
     return out.withColumn("win", window_start(F.col("ts2"), p.window_ms))
 
 
-def sample(rows: DataFrame, n: int, part: int = 0, parts: int = 1) -> DataFrame:
-    """Every n-th row in order of ``seq``, from the first on, as ``qid``.
+def numbered(rows: DataFrame, *order) -> DataFrame:
+    """``rows``, stored, with ``nth``: their number from 0 on in the order of the columns.
 
-    The global number is a rank in each range of ``seq`` plus the sizes of the ranges
-    before it, so no task ranks all rows.
+    Rows are dealt out by ranges of the order and numbered within; what goes before is a
+    sum over the ranges, so no task sees all rows, nor a number that grows with them.
     """
-    width = F.lit(1 << 16)
-    ranged = rows.withColumn("__r", F.floor(F.col("seq") / width))
-    sizes = ranged.groupBy("__r").agg(F.count("*").alias("__n"))
-    before = sizes.select("__r", F.coalesce(F.sum("__n").over(Window.orderBy("__r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("__base"))
-    inner = F.row_number().over(Window.partitionBy("__r").orderBy("seq")) - 1
-    ranked = ranged.withColumn("__i", inner).join(before, "__r").withColumn("__k", F.col("__base") + F.col("__i"))
-    return ranked.where(F.col("__k") % n == 0).withColumn("qid", (F.expr(f"__k div {n}") * parts + part).cast("long")).drop("__r", "__i", "__base", "__k")
+    spark = rows.sparkSession
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    order = [F.col(c) if isinstance(c, str) else c for c in order]
+    dealt = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    stored = materialize(dealt.withColumn("__m", F.monotonically_increasing_id()), "numbered")
+    part, inner = F.shiftright("__m", 33), F.col("__m").bitwiseAND(F.lit((1 << 33) - 1))  # as Spark makes these ids
+    sizes = stored.groupBy(part.alias("__p")).agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # a row for each range
+    starts = F.broadcast(sizes.select("__p", before.alias("__base")))
+    return stored.join(starts, part == F.col("__p")).withColumn("nth", F.col("__base") + inner).drop("__m", "__p", "__base")
+
+
+def sample(rows: DataFrame, n: int, part: int = 0, parts: int = 1) -> DataFrame:
+    """Every n-th row in order of ``seq``, from the first on, as ``qid``; rows that are numbered already keep their ``nth`` as the order."""
+    known = rows if "nth" in rows.columns else numbered(rows, "seq")
+    return known.where(F.col("nth") % n == 0).withColumn("qid", (F.expr(f"nth div {n}") * parts + part).cast("long")).drop("nth")
 
 
 def range_queries(segs: DataFrame, p: Params) -> DataFrame:
@@ -60,6 +103,13 @@ def window_counts(segs: DataFrame, queries: DataFrame, width: int = 600_000) ->
     return both.groupBy(window_start(F.col("ts"), width).alias("win")).agg(F.sum("s").alias("n_segments"), F.sum("q").alias("n_queries"))
 
 
+def retained(segs: DataFrame, p: Params) -> DataFrame:
+    """(win, n, retained): segments of each pane and of the logical window that it closes."""
+    band = Window.orderBy("win").rangeBetween(-(p.logical_windows - 1) * p.window_ms, 0)
+    panes = segs.groupBy("win").agg(F.count("*").alias("n"))
+    return panes.withColumn("retained", F.sum("n").over(band))
+
+
 def density(segs: DataFrame, p: Params) -> DataFrame:
     """(cycle, gx, gy, cnt): segment centers per grid cell and cycle; a boundary window closes its cycle."""
     from driftgrid.functions.boxes import box, center, density_cell

@@ -7,6 +7,8 @@ from dataclasses import dataclass, fields, replace
 
 @dataclass(frozen=True)
 class Params:
+    """Parameters; ``eviction`` tells how ``inactivity_ms`` cuts trajectories: at every gap over it, or ``exact``, where a sweep came between."""
+
     window_ms: int = 60_000
     logical_windows: int = 8
     ratio: int = 150
@@ -17,6 +19,7 @@ class Params:
     grid: int = 128
     partitions: int = 16
     inactivity_ms: int | None = None
+    eviction: str = "gap"
     emit_empty: bool = True
     cell: float = 500.0
 

@@ -13,13 +13,14 @@ FRAMES = ("grid", "random", "str", "quad", "theta")
 
 
 def prepare(points: DataFrame, p: Params) -> tuple[DataFrame, DataFrame]:
-    segs = trajectories.segments(points, p)
-    return segs, trajectories.range_queries(segs, p)
+    """Segments and queries of the points; pairing and numbering are done once, and stored."""
+    segs = trajectories.numbered(trajectories.segments(points, p), "seq")
+    return segs.drop("nth"), trajectories.range_queries(segs, p)
 
 
-def pairs(frame: str, points: DataFrame, p: Params) -> DataFrame:
-    """(qid, segment) pairs under a frame."""
-    segs, queries = prepare(points, p)
+def pairs(frame: str, points: DataFrame, p: Params, prepared: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """(qid, segment) pairs under a frame, of what :func:`prepare` made of the points."""
+    segs, queries = prepared or prepare(points, p)
     if frame == "grid":
         return joins.range_pairs(queries, segs, p)
     if frame == "theta":
@@ -30,10 +31,9 @@ def pairs(frame: str, points: DataFrame, p: Params) -> DataFrame:
         copied = joins.to_windows(queries, p).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(p.partitions - 1).cast("long"))))
         return copied.join(dealt, ["win", "part"]).where(intersects(box("q"), box(), p.eps)).drop("win", "part")
     if frame == "str":
-        first = points.agg(F.min("ts")).first()[0]
+        first = points.agg(F.min("ts")).first()[0] or 0
         sample = points.where(F.col("ts") < F.lit(first) + p.cycle_ms)
-        layout = layouts.layout_table(points.sparkSession, layouts.str_layout(sample, p))
-        return joins.leaf_pairs(queries, segs, layout, p)
+        return joins.leaf_pairs(queries, segs, layouts.str_layout(sample, p), p)
     if frame == "quad":
         return quad_pairs(queries, segs, p)
     raise ValueError(f"frame must be one of {FRAMES}, not {frame!r}")
@@ -43,30 +43,20 @@ def quad_pairs(queries: DataFrame, segs: DataFrame, p: Params) -> DataFrame:
     """The join under adaptive layouts: each query is answered under its own cycle's layout.
 
     A segment is visible in at most two cycles and goes to its leaves in each; both
-    sides meet on (window, cycle, leaf).
+    sides meet on (window, cycle, leaf). The layouts are a table with a row for each
+    cycle, joined by cycle, and sent whole to the tasks only while Spark finds it small.
     """
-    spark = segs.sparkSession
-    by_cycle = layouts.fold_layouts(trajectories.density(segs, p), p)
-    rows = [(int(c), int(i), *map(float, b)) for c, leaves in by_cycle.items() for i, *b in layouts.to_boxes(leaves, p)]
-    layout = spark.createDataFrame(rows, "cycle long, " + layouts.LAYOUT)  # partitions x cycles rows
+    found = layouts.cycle_table(segs.sparkSession, layouts.fold_layouts(trajectories.density(segs, p), p), p)
     cycle = lambda c: F.ceil(c / F.lit(p.cycle_ms)).cast("long")
     last = F.col("win") + F.lit((p.logical_windows - 1) * p.window_ms)
-
-    def leaves(side: DataFrame, prefix: str, name: str) -> DataFrame:
-        met = (F.col("cycle") == F.col("lc")) & intersects(box(prefix), box("l"), p.eps)
-        out = side.join(F.broadcast(layout.withColumnRenamed("cycle", "lc")), met)
-        return out.groupBy(*side.columns).agg(F.sort_array(F.collect_set("leaf")).alias(name))
-
-    q = leaves(queries.select("qid", "win", "qxlo", "qylo", "qxhi", "qyhi").withColumn("cycle", cycle(F.col("win"))), "q", "ql")
-    s = leaves(segs.withColumn("cycle", F.explode(F.array_distinct(F.array(cycle(F.col("win")), cycle(last))))), "", "sl")
-    left = joins.to_windows(q, p).withColumn("leaf", F.explode("ql"))
-    right = s.withColumn("leaf", F.explode("sl"))
-    least = F.array_min(F.array_intersect("ql", "sl"))
-    out = left.join(right, ["win", "cycle", "leaf"]).where(intersects(box("q"), box(), p.eps) & (F.col("leaf") == least))
-    return out.drop("win", "cycle", "leaf", "ql", "sl")
+    q = queries.select("qid", "win", "qxlo", "qylo", "qxhi", "qyhi").withColumn("cycle", cycle(F.col("win")))
+    q = q.join(found, "cycle").withColumn("ql", joins.leaf_set(F.col("leaves"), "q", p.eps)).drop("leaves")
+    s = segs.withColumn("cycle", F.explode(F.array_distinct(F.array(cycle(F.col("win")), cycle(last)))))
+    s = s.join(found, "cycle").withColumn("sl", joins.leaf_set(F.col("leaves"), "", p.eps)).drop("leaves")
+    return joins.pairs_by_leaf(joins.to_windows(q, p), s, p, ["win", "cycle"])
 
 
 def run(frame: str, points: DataFrame, p: Params) -> DataFrame:
     """One row per query with the segments it finds."""
-    _, queries = prepare(points, p)
-    return joins.merge(pairs(frame, points, p), queries, p)
+    prepared = prepare(points, p)
+    return joins.merge(pairs(frame, points, p, prepared), prepared[1], p)

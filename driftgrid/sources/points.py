@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from driftgrid.functions.boxes import mercator
+from driftgrid.scratch import materialize
 
 POINTS = "tid INT, ts BIGINT, x DOUBLE, y DOUBLE"
 
@@ -16,6 +17,22 @@ def read_points(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.csv(path, sep="\t", schema=POINTS)
 
 
+def read_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Text lines as (seq, value): ``seq`` grows with the files' names and, within a file, with the lines; it is not gapless."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    stored = materialize(lines, "lines")
+    files = stored.groupBy("file", "block").agg(F.min("id").alias("first"))
+    order = files.withColumn("nth", F.row_number().over(Window.orderBy("file", "block")).cast("long") - 1)  # a row for each piece of a file
+    return stored.join(F.broadcast(order), ["file", "block"]).select((F.col("nth") * (1 << 33) + F.col("id") - F.col("first")).alias("seq"), "value")
+
+
+def parse_points(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Tab-separated ``tid ts x y`` lines as points; other columns stay, malformed fields are null."""
+    parts = F.split(column, "\t")
+    fields = [F.get(parts, i).try_cast(f.dataType).alias(f.name) for i, f in enumerate(T.StructType.fromDDL(POINTS))]
+    return lines.select(*[c for c in lines.columns if c != column], *fields)
+
+
 def parse_gps(lines: DataFrame, column: str = "value") -> DataFrame:
     """Raw GPS lines, tab or comma: id, date and time, lon, lat. A malformed line has x = 0."""
     parts = F.split(F.regexp_replace(column, "[\t,]", " "), " ")
@@ -39,8 +56,7 @@ def event_points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def kafka_points(spark: SparkSession, servers: str, topic: str) -> DataFrame:
     """The same lines from Kafka, from the earliest offset on (needs the connector's jar)."""
     raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topic).option("startingOffsets", "earliest").load()
-    parts = F.split(raw["value"].cast("string"), "\t")
-    return raw.select(*[parts[i].cast(f.dataType).alias(f.name) for i, f in enumerate(T.StructType.fromDDL(POINTS))])
+    return parse_points(raw.select(F.col("value").cast("string")))
 
 
 def sample_until(points: DataFrame, start: int, length_ms: int) -> DataFrame:
@@ -50,9 +66,20 @@ def sample_until(points: DataFrame, start: int, length_ms: int) -> DataFrame:
 
 
 def write_results(results: DataFrame, path: str) -> None:
+    """The folder is wiped first; any table of rows, arrays and structs can be written."""
     results.write.mode("overwrite").parquet(path)
 
 
+def read_results(spark: SparkSession, path: str) -> DataFrame:
+    """What :func:`write_results` wrote, one row a query."""
+    return spark.read.parquet(path)
+
+
+def console(stream: DataFrame, rows: int = 20):
+    """A streaming query that prints each batch."""
+    return stream.writeStream.format("console").option("numRows", rows).option("truncate", False)
+
+
 def split_round_robin(lines: DataFrame, n: int, path: str, order: str = "seq", column: str = "value") -> None:
     """Line i goes to folder ``part={i mod n}``."""
     lines.select(column, F.pmod(F.col(order), F.lit(n)).alias("part")).write.mode("append").partitionBy("part").text(path)

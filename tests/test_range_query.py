@@ -43,15 +43,15 @@ def test_point_in_rect_answers_every_square(spark):
     for q in catalog.QUERIES["range_queries"](spark, SF).collect():
         inside = (q.qxlo - pts[:, 1] <= FIXTURE.eps) & (pts[:, 1] - q.qxhi <= FIXTURE.eps) & (q.qylo - pts[:, 2] <= FIXTURE.eps) & (pts[:, 2] - q.qyhi <= FIXTURE.eps)
         want[q.qid] = (int(inside.sum()), int(pts[inside, 0].sum()))
-    got = {r.qid: (r.n_points, r.seq_sum) for r in catalog.QUERIES["point_in_rect_all"](spark, SF).collect()}
+    got = {r.qid: (r.n_points, r.seq_sum) for r in catalog.QUERIES["point_in_rect"](spark, SF).collect()}
     assert got == want and sorted(got) == list(range(len(got))) and len(got) > 60
 
 
 def test_verdicts_go_both_ways(spark):
     """The line test and the change of bounds are asked where the answer is not always the same."""
-    rows = catalog.QUERIES["segment_line_verdict"](spark, SF).collect()
+    rows = catalog.QUERIES["segment_exact_refine"](spark, SF).collect()
     assert {(r.meets, r.hit) for r in rows} == {(False, False), (True, False), (True, True)} and len(rows) > 300
-    assert {(r.seq % 3 > 0, r.r) for r in catalog.QUERIES["rect_bounds_change_apart"](spark, SF).collect()} == {(False, True), (True, True), (True, False)}
+    assert {(r.seq % 3 > 0, r.r) for r in catalog.QUERIES["rect_bounds_change"](spark, SF).collect()} == {(False, True), (True, True), (True, False)}
 
 
 def test_pairing(spark):
