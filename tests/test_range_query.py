@@ -148,3 +148,154 @@ def test_streaming_goes_on_after_a_restart(spark, tmp_path):
     want = sorted((r.qid, r.n) for r in frames.run("grid", pts, FIXTURE).where(F.col("win") < last - last % FIXTURE.window_ms).collect())
     assert sorted((r.qid, r.n) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
     assert spark.read.parquet(str(tmp_path / "out")).select("epoch").distinct().count() == 2
+
+
+def _batches(spark, tmp_path, parts, p, **more):
+    """Each part as a batch of its own; results by query, and the store's folders after each batch."""
+    from driftgrid.streaming import continuous
+
+    panes, folders = continuous.Panes(spark, str(tmp_path / "store")), []
+    for epoch, part in enumerate(parts):
+        continuous.take_batch(spark.createDataFrame(part, "seq long, tid long, ts long, x double, y double"), epoch, panes, str(tmp_path / "out"), p, **more)
+        folders.append({(int(f.parent.name[6:]), int(f.name[4:])) for f in (tmp_path / "store/panes").glob("epoch=*/win=*")})
+    return {r.qid: (r.win, sorted(s.seq for s in r.segments)) for r in spark.read.parquet(str(tmp_path / "out")).collect()}, folders, panes
+
+
+def test_stream_in_small_batches(spark, tmp_path):
+    """Batches that cut windows and trajectories anywhere give the batch's answers; a repeated batch changes nothing; old panes go."""
+    from driftgrid.streaming import continuous
+
+    rng = np.random.default_rng(9)
+    p = Params(window_ms=10, logical_windows=3, ratio=3, radius=5.0, cell=20.0)
+    rows = [(i, int(rng.integers(0, 4)), int(i * 1.5), float(rng.uniform(0, 30)), float(rng.uniform(0, 30))) for i in range(120)]
+    got, folders, panes = _batches(spark, tmp_path, [rows[a : a + 17] for a in range(0, 120, 17)], p)
+    want = {r.qid: (r.win, sorted(s.seq for s in r.segments)) for r in frames.run("theta", spark.createDataFrame(rows, POINTS), p).collect()}
+    edge = rows[-1][2] // 10 * 10
+    assert got == {q: v for q, v in want.items() if v[0] < edge} and len(got) > 20
+    assert all(min(w for _, w in f) >= max(w for _, w in f) - 3 * 10 - 30 for f in folders[2:]) and max(map(len, folders)) <= 14
+    before = sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("qid", "win", "n").collect())
+    continuous.take_batch(spark.createDataFrame(rows[119:], "seq long, tid long, ts long, x double, y double"), 7, panes, str(tmp_path / "out"), p)
+    assert before == sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).select("qid", "win", "n").collect())
+
+
+def test_stream_late_rows(spark, tmp_path):
+    """A late segment is left out of answered windows and counted; with lateness allowed it is there."""
+    p = Params(window_ms=10, logical_windows=3, ratio=1, radius=50.0, cell=20.0)
+    first = [(0, 1, 1, 0.0, 0.0), (1, 1, 5, 1.0, 1.0), (2, 2, 3, 0.0, 0.0), (3, 1, 25, 2.0, 2.0)]
+    late = [(4, 2, 8, 5.0, 5.0), (5, 1, 41, 3.0, 3.0)]
+    got, _, panes = _batches(spark, tmp_path / "a", [first, late], p)
+    assert got == {0: (0, [1]), 1: (20, [1, 3])} and panes.mark(9).late == 1
+    got, _, panes = _batches(spark, tmp_path / "b", [first, late], p, lateness_ms=20)
+    assert got == {0: (0, [1, 4]), 2: (0, [1, 4])} and panes.mark(9).late == 0
+
+
+def test_declarative_streams(spark, tmp_path):
+    """Windows, windows of windows, and pairing that forgets idle trajectories."""
+    from driftgrid.streaming import continuous
+
+    rows = [(0, 1, 0, 0.0, 0.0), (1, 2, 100, 0.0, 0.0), (2, 1, 700_000, 1.0, 1.0), (3, 3, 9_000_000, 0.0, 0.0), (4, 1, 9_100_000, 2.0, 2.0), (5, 9, 90_000_000, 0.0, 0.0)]
+    schema = "seq long, tid long, ts long, x double, y double"
+
+    def run(make, name):
+        spark.createDataFrame([], schema).write.mode("overwrite").parquet(str(tmp_path / name))
+        for k in range(0, 6, 2):
+            spark.createDataFrame(rows[k : k + 2], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+            q = make(spark.readStream.schema(schema).parquet(str(tmp_path / name))).writeStream.format("parquet").option("path", str(tmp_path / f"{name}-out")).option("checkpointLocation", str(tmp_path / f"{name}-cp")).outputMode("append").trigger(availableNow=True).start()
+            q.awaitTermination()
+        return spark.read.parquet(str(tmp_path / f"{name}-out")).collect()
+
+    assert sorted(r.n_points for r in run(continuous.window_counts_stream, "counts")) == [1, 2, 2]
+    totals = {int(r.window.start.timestamp()) // 3600: (r.n_windows, r.most) for r in run(continuous.window_totals_stream, "totals")}
+    assert totals[0] == (2, 2)
+    assert {r.seq for r in run(continuous.pair_stream, "all")} == {2, 4}
+    assert {r.seq for r in run(lambda s: continuous.pair_stream(s, 3_600_000), "idle")} == {2}
+
+
+def test_exact_eviction(spark):
+    """Against the loop over all points: a trajectory is cut where a sweep came between, not at every gap."""
+    rng = np.random.default_rng(3)
+    rows, at = [], 0
+    for i in range(400):
+        at += int(rng.exponential(400))
+        rows.append((i, int(rng.integers(0, 12 + i // 20)), at, float(i), 0.0))
+    known, swept, want = {}, 0, set()
+    for seq, tid, ts, _, _ in rows:
+        if tid in known:
+            want.add(seq)
+        elif ts - swept > 3000:
+            known = {t: v for t, v in known.items() if ts - v <= 3000}
+            swept = ts
+        known[tid] = ts
+    p = replace(SMALL, max_segment=1e9, inactivity_ms=3000, eviction="exact")
+    got = {r.seq for r in trajectories.segments(spark.createDataFrame(rows, POINTS), p).collect()}
+    gaps = {r.seq for r in trajectories.segments(spark.createDataFrame(rows, POINTS), replace(p, eviction="gap")).collect()}
+    assert got == want and gaps < got
+
+
+def test_schedule():
+    """Which regions are made anew, and how a region is split by its items."""
+    p = Params()
+    grid = np.full((128, 128), 10)
+    whole = layouts.Leaf(0, 0, 127, 127, 163840, ())
+    for bound, n in ((100_000, 4), (60_000, 4), (25_000, 5), (10_000, 10)):
+        leaves = layouts.grow(whole, grid, bound)
+        assert sum(x.count for x in leaves) == 163840 and len(leaves) >= n - 1, bound
+    assert layouts.grow(replace(whole, path=(1,)), grid, 80_000) == [replace(whole, path=(1,))]  # below 2.2 bounds
+    four = layouts.split(whole, grid, (40960, 36864, 40960))
+    assert [(x.x0, x.x1, x.y0, x.y1) for x in four] == [(0, 60, 0, 67), (0, 60, 68, 127), (61, 127, 0, 61), (61, 127, 62, 127)]
+    leaf = lambda path, n: layouts.Leaf(0, 0, 1, 1, n, path)
+    flat = [leaf((i,), 100) for i in range(4)]
+    assert layouts.picks(flat, 100) == layouts.picks(flat, 500) == [] and layouts.picks([*flat[:3], leaf((3,), 300)], 100) == [()] and layouts.picks([*flat[:3], leaf((3,), 450)], 100) == [(3,)]
+    deep = [*flat[:3], *(leaf((3, i), n) for i, n in enumerate((20, 30, 40, 60)))]
+    assert layouts.picks(deep, 100) == [(3,)]  # too few each, right together
+    assert layouts.picks([*flat[:3], *(leaf((3, i), n) for i, n in enumerate((20, 30, 40, 900)))], 100) == [(3,)]
+    assert layouts.fullest(deep).path == (0,) and [x.count for x in layouts.by_count(deep)][:2] == [20, 30]
+    skewed = np.zeros((128, 128), int)
+    skewed[3, 3], skewed[5, 7] = 5000, 200  # all in two cells
+    layout = layouts.adapt(layouts.quadrants(p), skewed, p)
+    assert sum(x.count for x in layout) == 5200 and len(layout) <= p.partitions
+    assert layouts.adapt(layout, np.zeros((128, 128), int), p) == [replace(x, count=0) for x in layout]
+
+
+def test_layouts_of_cycles(spark):
+    """Layouts follow the density of the cycle before; the plan of moves between two layouts against all pairs of leaves."""
+    dens = catalog.QUERIES["density_cycle"](spark, SF)
+    found = layouts.fold_layouts(dens, FIXTURE)
+    cycles = sorted({r.cycle for r in dens.select("cycle").distinct().collect()})
+    assert set(found) == set(cycles) | {c + 1 for c in cycles} and found[cycles[0]] == layouts.quadrants(FIXTURE)
+    cells = {c: {(r.gx, r.gy): r.cnt for r in dens.where(F.col("cycle") == c).collect()} for c in cycles[:3]}
+    for c in cycles[:3]:
+        seen = np.zeros((128, 128), int)
+        for x in found[c + 1]:
+            seen[x.x0 : x.x1 + 1, x.y0 : x.y1 + 1] += 1
+            assert x.count == sum(n for (gx, gy), n in cells[c].items() if x.x0 <= gx <= x.x1 and x.y0 <= gy <= x.y1)
+        assert (seen == 1).all()
+    old, new = layouts.to_boxes(found[cycles[2]], FIXTURE), layouts.to_boxes(found[cycles[-1] + 1], FIXTURE)
+    meet = lambda a, b: a[1] < b[3] - 1e-6 and b[1] < a[3] - 1e-6 and a[2] < b[4] - 1e-6 and b[2] < a[4] - 1e-6
+    plan = {r.leaf: ([o.to for o in r.out or []], list(r["from"] or []), r.region is None) for r in layouts.migration(spark, old, new).collect()}
+    ids = {b[0] for b in old} | {b[0] for b in new}
+    assert plan == {i: (sorted(b[0] for a in old if a[0] == i for b in new if b[0] != i and meet(a, b)), sorted(a[0] for b in new if b[0] == i for a in old if a[0] != i and meet(a, b)), all(b[0] != i for b in new)) for i in ids}
+
+
+def test_sources_and_results(spark, tmp_path):
+    lines = [f"{i}\t{i * 10}\t{i}.5\t{i}.25" for i in range(50)]
+    for k in range(2):
+        (tmp_path / "in").mkdir(exist_ok=True)
+        (tmp_path / f"in/part{k}.txt").write_text("\n".join(lines[25 * k : 25 * k + 25]) + "\n")
+    read = S.read_lines(spark, str(tmp_path / "in"))
+    assert [r.value for r in read.orderBy("seq").collect()] == lines and read.select("seq").distinct().count() == 50
+    pts = S.parse_points(read.unionByName(spark.createDataFrame([(-1, "x\t1\t2")], "seq long, value string")))
+    assert {(r.tid, r.ts, r.x, r.y) for r in pts.collect()} == {(i, i * 10, i + 0.5, i + 0.25) for i in range(50)} | {(None, 1, 2.0, None)}
+    queries = joins.stamp(catalog.QUERIES["range_queries"](spark, SF))
+    segs = catalog.QUERIES["segments"](spark, SF)
+    S.write_results(joins.merge(joins.range_pairs(queries, segs, FIXTURE), queries, FIXTURE), str(tmp_path / "res"))
+    S.write_results(S.read_results(spark, str(tmp_path / "res")), str(tmp_path / "res2"))
+    back = joins.latency(S.read_results(spark, str(tmp_path / "res2")))
+    assert back.count() == queries.count() and back.where("latency_ms < 0 OR input_time IS NULL").count() == 0
+    halves = [back.select("qid", (F.col("input_time") + k).alias("input_time"), F.expr(f"filter(segments, s -> s.seq % 3 <> {k})").alias("segments")) for k in range(2)]
+    whole = joins.merge_parts(halves[0].unionByName(halves[1]))
+    assert {(r.qid, r.input_time, len(r.segments)) for r in whole.collect()} == {(r.qid, r.input_time, r.n) for r in back.collect()}
+    text = spark.readStream.text(str(tmp_path / "in"))
+    q = S.console(text).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    assert q.exception() is None and q.lastProgress["sink"]["description"].lower().startswith("org.apache.spark.sql.execution.streaming.console")
