@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 VOCABULARY = "word_bpe_49k.json"
-KEEP = 800_000
+KEEP = 400_000
 SLOT_BITS = 19
 STEP_CHARS = 1 << 21
 
