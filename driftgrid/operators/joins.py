@@ -33,15 +33,26 @@ def to_windows(queries: DataFrame, p: Params) -> DataFrame:
     return queries.withColumn("win", F.explode(steps))
 
 
+def cell_size(boxes: DataFrame, p: Params, prefix: str = "") -> float:
+    """The side of a grid cell for these boxes: ``p.cell`` if it is set, else a square's side plus the mean length of a box on its longer axis.
+
+    A box of either kind then touches about four cells or fewer, however large the region is.
+    """
+    if p.cell is not None:
+        return p.cell
+    side = lambda a: F.avg(F.col(f"{prefix}{a}hi") - F.col(f"{prefix}{a}lo"))
+    return 2 * p.radius + (boxes.agg(F.greatest(side("x"), side("y")).alias("m")).first().m or 0.0)
+
+
 def range_pairs(queries: DataFrame, segs: DataFrame, p: Params, inside: bool = False) -> DataFrame:
     """All segment columns with ``qid``: segments that meet (or lie inside) each query's square in its windows."""
-    slack = 2 * p.eps
-    q = to_cells(to_windows(queries.select("qid", "win", "qxlo", "qylo", "qxhi", "qyhi"), p), "q", p.cell, slack)
-    s = to_cells(segs, "", p.cell)
+    slack, size = 2 * p.eps, cell_size(segs, p)
+    q = to_cells(to_windows(queries.select("qid", "win", "qxlo", "qylo", "qxhi", "qyhi"), p), "q", size, slack)
+    s = to_cells(segs, "", size)
     test = contains(box("q"), box(), p.eps) if inside else intersects(box("q"), box(), p.eps)
-    corner = lambda a, b: F.floor(F.greatest(F.col(a) - F.lit(slack), F.col(b)) / F.lit(p.cell)).cast("int")
+    corner = lambda a, b: F.floor(F.greatest(F.col(a) - F.lit(slack), F.col(b)) / F.lit(size)).cast("int")
     # A segment that ends short of the widened square by rounding alone still shares the square's first cell.
-    first = (F.col("gx") == F.least(corner("qxlo", "xlo"), F.floor(F.col("xhi") / p.cell).cast("int"))) & (F.col("gy") == F.least(corner("qylo", "ylo"), F.floor(F.col("yhi") / p.cell).cast("int")))
+    first = (F.col("gx") == F.least(corner("qxlo", "xlo"), F.floor(F.col("xhi") / size).cast("int"))) & (F.col("gy") == F.least(corner("qylo", "ylo"), F.floor(F.col("yhi") / size).cast("int")))
     return q.join(s, ["win", "gx", "gy"]).where(test & first).drop("win", "gx", "gy")
 
 

@@ -21,7 +21,7 @@ class Params:
     inactivity_ms: int | None = None
     eviction: str = "gap"
     emit_empty: bool = True
-    cell: float = 500.0
+    cell: float | None = None
 
     @property
     def cycle_ms(self) -> int:
@@ -29,15 +29,15 @@ class Params:
 
 
 #: The scale of the test tables' events.
-FIXTURE = Params(window_ms=6 * 3_600_000, ratio=10, radius=200.0, max_segment=4000.0, cell=2000.0)
+FIXTURE = Params(window_ms=6 * 3_600_000, ratio=10, radius=200.0, max_segment=4000.0)
 
 
 def read_properties(lines, base: Params = Params()) -> Params:
     """``base`` with the fields named in ``key=value`` lines; others and comments are left out."""
-    kinds = {f.name: type(getattr(base, f.name)) for f in fields(base)}
+    kinds = {f.name: type(getattr(base, f.name)) for f in fields(base)} | {"cell": float, "inactivity_ms": int}
     found = {}
     for line in lines:
         key, sep, value = line.partition("=")
-        if sep and not line.lstrip().startswith("#") and kinds.get(key.strip()) in (int, float):
+        if sep and not line.lstrip().startswith("#") and kinds.get(key.strip()) in (int, float, str):
             found[key.strip()] = kinds[key.strip()](value.strip())
     return replace(base, **found)

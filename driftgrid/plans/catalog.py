@@ -121,7 +121,7 @@ def range_join_contains(spark, d):
 def point_in_rect(spark, d):
     """All query squares against all points."""
     queries = _queries(spark, d)
-    pairs = joins.points_in_boxes(_points(spark, d), queries.select("qid", "qxlo", "qylo", "qxhi", "qyhi"), P.cell, P.eps)
+    pairs = joins.points_in_boxes(_points(spark, d), queries.select("qid", "qxlo", "qylo", "qxhi", "qyhi"), 2 * P.radius, P.eps)
     return _summed(pairs, queries).withColumnRenamed("n_hits", "n_points")
 
 
@@ -480,7 +480,7 @@ def same_sets(spark, d):
     return _lists(spark, d).select("tid", K.same_set(F.col("a"), F.col("b")).alias("sets"), K.same_map(one("a"), one("b")).alias("maps"))
 
 
-@query("sorted_lists", f"{_LISTS}, c AS (SELECT tid, coalesce(a, []) AS a, (lo + hi) // 2 AS m, lo FROM t) SELECT tid, len(list_filter(a, lambda e: e <= m)) AS kept, len(list_filter(a, lambda e: e > m)) AS gone, list_position(list_sort(list_append(a, m)), m) - 1 AS place, CAST(len(a) - CASE WHEN list_contains(a, lo) THEN 1 ELSE 0 END AS BIGINT) AS n_without, array_to_string(list_transform(a, lambda e: e // {W}), ',') AS panes FROM c")
+@query("sorted_lists", f"{_LISTS}, c AS (SELECT tid, coalesce(a, []) AS a, (lo + hi) // 2 AS m, lo FROM t) SELECT tid, len(list_filter(a, lambda e: e <= m)) AS kept, len(list_filter(a, lambda e: e > m)) AS gone, CAST(list_position(list_sort(list_append(a, m)), m) - 1 AS BIGINT) AS place, CAST(len(a) - CASE WHEN list_contains(a, lo) THEN 1 ELSE 0 END AS BIGINT) AS n_without, array_to_string(list_transform(a, lambda e: e // {W}), ',') AS panes FROM c")
 def sorted_lists(spark, d):
     a, m = F.coalesce(F.col("a"), F.array().cast("array<bigint>")), F.expr("(lo + hi) div 2")
     t = _lists(spark, d).select("tid", a.alias("a"), m.alias("m"), "lo")

@@ -117,7 +117,8 @@ def test_files(spark, tmp_path):
     assert [tuple(r) for r in S.read_points(spark, str(tmp_path / "p.tsv")).collect()] == [(1, 5, 1.5, 2.5)]
     S.split_round_robin(spark.createDataFrame([(i, str(i)) for i in range(5)], "seq long, value string"), 2, str(tmp_path / "s"))
     assert {r.value: r.part for r in spark.read.text(str(tmp_path / "s")).collect()} == {str(i): i % 2 for i in range(5)}
-    assert read_properties(["# x", "radius = 7.5", "ratio=3", "other=1"]).radius == 7.5
+    got = read_properties(["# x", "radius = 7.5", "ratio=3", "other=1", "cell=250", "inactivity_ms=9", "eviction = exact"])
+    assert (got.radius, got.ratio, got.cell, got.inactivity_ms, got.eviction) == (7.5, 3, 250.0, 9, "exact")
 
 
 def test_streaming_equals_batch(spark, tmp_path):
